@@ -7,6 +7,8 @@ per character in the JVM's regex engine and overflow its stack on long inputs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 MARK = "\u0001"       # starts an item, followed by its line number
@@ -64,30 +66,71 @@ def clean_typescript(source: Column) -> Column:
     text = F.translate(source, "\r", "")
     text = _blank_block_comments(text)
     text = F.regexp_replace(text, r"(?m)(^|\s)//[^\n]*", "$1")
-    ticks = F.length(text) - F.length(F.replace(text, F.lit("`"), F.lit("")))
-    return F.when(ticks % 2 == 0, F.regexp_replace(text, "`[^`]*`", "``")).otherwise(text)
+
+    def emptied(t: Column) -> Column:
+        ticks = F.length(t) - F.length(F.replace(t, F.lit("`"), F.lit("")))
+        return F.when((ticks > 0) & (ticks % 2 == 0), F.regexp_replace(t, "`[^`]*`", "``")).otherwise(t)
+
+    return let(text, emptied)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fact(kind: Column, pos: Column, name: Column, line: Column) -> Column:
+    return F.struct(
+        kind.cast("string").alias("fact"), pos.cast("int").alias("pos"),
+        name.alias("name"), line.cast("int").alias("line"),
+    )
 
 
-def rust_segments(clean: Column) -> Column:
-    """Array of ``<line>MARK_END<text from an item keyword to the next one>``.
+def _marked(line: Column, index: Column) -> Column:
+    """``line`` with its own number in front of each item keyword it holds."""
+    mark = F.concat(F.lit(MARK), (index + 1).cast("string"), F.lit(MARK_END))
+    impls = F.when(
+        F.contains(line, F.lit("impl")),
+        F.regexp_replace(line, F.lit(RUST_IMPL), F.concat(F.lit("$1"), mark, F.lit("$2"))),
+    ).otherwise(line)
+    return F.when(
+        line.rlike(r"\b(fn|struct|trait)\s"), F.regexp_replace(impls, F.lit(RUST_ITEM), mark)
+    ).otherwise(impls)
 
-    Each line puts its own number in front of the item keywords it holds, so line numbers
-    survive the split without any ordering across rows.
+
+def rust_item_facts(clean: Column) -> Column:
+    """Array of item facts, in source order.
+
+    Lines carry their numbers into the text before it is cut at item keywords, so line numbers
+    survive the cut without any ordering across rows.
     """
-    def numbered(line: Column, index: Column) -> Column:
-        mark = F.concat(F.lit(MARK), (index + 1).cast("string"), F.lit(MARK_END))
-        impls = F.when(
-            F.contains(line, F.lit("impl")),
-            F.regexp_replace(line, F.lit(RUST_IMPL), F.concat(F.lit("$1"), mark, F.lit("$2"))),
-        ).otherwise(line)
-        return F.when(
-            line.rlike(r"\b(fn|struct|trait)\s"),
-            F.regexp_replace(impls, F.lit(RUST_ITEM), mark),
-        ).otherwise(impls)
-
-    lines = F.transform(F.split(clean, "\n"), numbered)
-    cut = F.split(F.array_join(lines, "\n"), MARK)
-    return F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0)))
+    marked = F.array_join(F.transform(F.split(clean, "\n"), _marked), "\n")
+
+    def fact(piece: Column, index: Column) -> Column:
+        def named(parts: Column) -> Column:
+            body = F.get(parts, F.lit(1))
+            head = F.ltrim(body)
+            function, implementation = head.startswith("fn"), head.rlike(r"^(unsafe\s+)?impl\b")
+            kind = (
+                F.when(function, "Function").when(implementation, "Impl")
+                .when(head.startswith("struct"), "Struct").when(head.startswith("trait"), "Trait")
+            )
+            name = (
+                F.when(function, fn_name(head)).when(implementation, impl_name(head))
+                .otherwise(F.regexp_extract(head, r"^(?:struct|trait)\s+(\w+)", 1))
+            )
+            return _fact(kind, index, name, F.get(parts, F.lit(0)))
+
+        return let(F.split(piece, MARK_END, 2), named)
+
+    pieces = F.filter(F.split(marked, MARK), lambda p: F.contains(p, F.lit(MARK_END)))
+    return F.filter(F.transform(pieces, fact), lambda f: f["name"] != "")
+
+
+def fn_name(segment: Column) -> Column:
+    """Name of a function that has a body; empty for a bare signature."""
+    flat = F.regexp_replace(segment, r";[^;\[\](){}]*\]", "]")
+    return F.regexp_extract(flat, r"^fn\s+(\w+)[^;{]*\{", 1)
 
 
 def impl_name(segment: Column) -> Column:
@@ -95,23 +138,34 @@ def impl_name(segment: Column) -> Column:
 
     ``impl Tr for X`` gives ``Tr``; ``impl a::Tr for X`` gives ``X``; ``impl Foo<T>`` gives none.
     """
-    header = F.regexp_extract(segment, r"^\s*(?:unsafe\s+)?impl\b([^{]*)\{", 1)
+    header = F.regexp_extract(segment, r"^(?:unsafe\s+)?impl\b([^{]*)\{", 1)
     header = F.replace(header, F.lit("->"), F.lit("~"))
     for _ in range(6):
         header = F.regexp_replace(header, "<[^<>]*>", GENERICS)
     header = F.regexp_replace(header, "^\\s*" + GENERICS, "")
     header = F.regexp_replace(header, r"(?s)\bwhere\b.*$", "")
-    sides = F.split(header, r"\sfor\s", 2)
-    plain = r"^\s*!?\s*([A-Za-z_]\w*)\s*$"
+    bare = F.transform(
+        F.split(header, r"\sfor\s", 2), lambda side: F.regexp_extract(side, r"^\s*!?\s*([A-Za-z_]\w*)\s*$", 1)
+    )
+    return F.get(F.filter(bare, lambda name: (name != "") & ~name.isin(*RUST_PRIMITIVES)), F.lit(0))
 
-    def bare(side: Column) -> Column:
-        name = F.regexp_extract(side, plain, 1)
-        return F.when((name != "") & ~name.isin(*RUST_PRIMITIVES), name)
 
-    return F.coalesce(bare(F.get(sides, F.lit(0))), bare(F.get(sides, F.lit(1))))
+def _listed(kind: str, found: Column) -> Column:
+    return F.transform(found, lambda name, pos: _fact(F.lit(kind), pos, name, F.lit(None)))
 
 
-def fn_name(segment: Column) -> Column:
-    """Name of a function that has a body; empty for a bare signature."""
-    flat = F.regexp_replace(segment, r";[^;\[\](){}]*\]", "]")
-    return F.regexp_extract(flat, r"^fn\s+(\w+)[^;{]*\{", 1)
+def rust_use_facts(clean: Column) -> Column:
+    found = F.regexp_extract_all(clean, F.lit(RUST_USE), F.lit(1))
+    return _listed("use", F.transform(found, lambda raw: F.trim(F.regexp_replace(raw, "^(use )+", ""))))
+
+
+def rust_mod_facts(clean: Column) -> Column:
+    return _listed("mod", F.regexp_extract_all(clean, F.lit(RUST_MOD), F.lit(1)))
+
+
+def rust_facts(clean: Column) -> Column:
+    return F.concat(rust_item_facts(clean), rust_use_facts(clean), rust_mod_facts(clean))
+
+
+def ts_facts(clean: Column) -> Column:
+    return _listed("specifier", F.regexp_extract_all(clean, F.lit(TS_SPECIFIER), F.lit(2)))

@@ -6,66 +6,78 @@ without a shuffle and parallelises by file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from graphquarry.functions import paths, text
 
 
-def _rust(files: DataFrame) -> DataFrame:
-    return files.where(F.col("path").endswith(".rs")).select(
-        "path", text.clean_rust(F.col("source")).alias("clean")
-    )
+ITEM_KINDS = ("Function", "Struct", "Trait", "Impl")
 
 
-def rust_items(files: DataFrame) -> DataFrame:
-    """``(path, kind, name, line)`` for functions with a body, structs, traits and impls."""
-    segments = _rust(files).select("path", F.explode(text.rust_segments(F.col("clean"))).alias("s"))
-    cut = F.split(F.col("s"), text.MARK_END, 2)
-    body = F.get(cut, F.lit(1))
-    parts = segments.select("path", F.get(cut, F.lit(0)).cast("int").alias("line"), body.alias("body"))
-    keyword = F.regexp_extract("body", r"^\s*(?:unsafe\s+)?(fn|struct|trait|impl)\b", 1)
-    name = (
-        F.when(keyword == "fn", text.fn_name(F.col("body")))
-        .when(keyword == "impl", text.impl_name(F.col("body")))
-        .otherwise(F.regexp_extract("body", r"^(?:struct|trait)\s+(\w+)", 1))
-    )
-    kind = (
-        F.when(keyword == "fn", "Function").when(keyword == "struct", "Struct")
-        .when(keyword == "trait", "Trait").otherwise("Impl")
-    )
-    return parts.select("path", kind.alias("kind"), name.alias("name"), "line").where("name <> ''")
+def _explode(files: DataFrame, found: Column) -> DataFrame:
+    return files.select("path", F.explode(found).alias("f")).select("path", "f.*")
 
 
-def item_entities(items: DataFrame) -> DataFrame:
-    """Item rows as graph entities with the qualified path ``<file>::<name>``."""
-    return items.where(F.col("kind").isin("Function", "Struct", "Trait", "Impl")).select(
-        "kind",
-        "name",
-        F.concat("path", F.lit("::"), F.col("name")).alias("path"),
-        F.lit("rust").alias("language"),
-    )
+def _rust(files: DataFrame, found: Callable[[Column], Column]) -> DataFrame:
+    rust = files.where(F.col("path").endswith(".rs"))
+    return _explode(rust, found(text.clean_rust(F.col("source"))))
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """``(path, fact, pos, name, line)``: every fact of every file in one pass over the text."""
+    rust = text.let(text.clean_rust(F.col("source")), text.rust_facts)
+    script = text.ts_facts(text.clean_typescript(F.col("source")))
+    return _explode(files, F.when(F.col("path").endswith(".rs"), rust).otherwise(script))
+
+
+def items_of(found: DataFrame) -> DataFrame:
+    kept = found.where(F.col("fact").isin(*ITEM_KINDS))
+    return kept.select("path", F.col("fact").alias("kind"), "name", "line")
+
+
+def uses_of(found: DataFrame) -> DataFrame:
+    return found.where("fact = 'use'").select("path", "pos", F.col("name").alias("specifier"))
+
+
+def mods_of(found: DataFrame) -> DataFrame:
+    return found.where("fact = 'mod'").select("path", "pos", "name")
+
+
+def specifiers_of(found: DataFrame) -> DataFrame:
+    return found.where("fact = 'specifier'").select("path", "pos", F.col("name").alias("specifier"))
+
+
+def rust_items(files: DataFrame) -> DataFrame:
+    """``(path, kind, name, line)`` for functions with a body, structs, traits and impls."""
+    return items_of(_rust(files, text.rust_item_facts))
 
 
 def rust_uses(files: DataFrame) -> DataFrame:
     """``(path, pos, specifier)``: text of each ``use`` without ``use `` and ``;``."""
-    found = F.regexp_extract_all("clean", F.lit(text.RUST_USE), F.lit(1))
-    uses = _rust(files).select("path", F.posexplode(found).alias("pos", "raw"))
-    specifier = F.trim(F.regexp_replace("raw", "^(use )+", ""))
-    return uses.select("path", "pos", specifier.alias("specifier"))
+    return uses_of(_rust(files, text.rust_use_facts))
 
 
 def rust_mods(files: DataFrame) -> DataFrame:
     """``(path, pos, name)``: each body-less ``mod name;``."""
-    found = F.regexp_extract_all("clean", F.lit(text.RUST_MOD), F.lit(1))
-    return _rust(files).select("path", F.posexplode(found).alias("pos", "name"))
+    return mods_of(_rust(files, text.rust_mod_facts))
 
 
 def ts_specifiers(files: DataFrame) -> DataFrame:
     """``(path, pos, specifier)`` of every TypeScript import or re-export with a source."""
     scripts = files.where(F.col("path").rlike(r"\.tsx?$"))
-    clean = scripts.select("path", text.clean_typescript(F.col("source")).alias("clean"))
-    found = F.regexp_extract_all("clean", F.lit(text.TS_SPECIFIER), F.lit(2))
-    return clean.select("path", F.posexplode(found).alias("pos", "specifier"))
+    return specifiers_of(_explode(scripts, text.ts_facts(text.clean_typescript(F.col("source")))))
+
+
+def item_entities(items: DataFrame) -> DataFrame:
+    """Item rows as graph entities with the qualified path ``<file>::<name>``."""
+    return items.where(F.col("kind").isin(*ITEM_KINDS)).select(
+        "kind",
+        "name",
+        F.concat("path", F.lit("::"), F.col("name")).alias("path"),
+        F.lit("rust").alias("language"),
+    )
 
 
 def file_registration(files: DataFrame) -> DataFrame:

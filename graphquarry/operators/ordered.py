@@ -19,18 +19,19 @@ def fill_forward(
     sort any task sees is one chunk, or one row per chunk of a group.
     """
     keyed = df.withColumn("chunk_", F.floor(F.col(pos) / chunk))
-    inside = Window.partitionBy(group, "chunk_").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(group, "chunk_").orderBy(pos)
+    inside = ordered.rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(group).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
-    ends = keyed.groupBy(group, "chunk_").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in columns]
+    local = keyed.withColumns(
+        {c: F.last(c, ignorenulls=True).over(inside) for c in columns}
+        | {"more_": F.lead(F.lit(True)).over(ordered)}
     )
-    starts = ends.select(
+    starts = local.where("more_ IS NULL").select(
         group, "chunk_", *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_start_") for c in columns]
     )
-    local = keyed.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
     filled = local.join(starts, [group, "chunk_"], "left")
     return filled.withColumns({c: F.coalesce(c, f"{c}_start_") for c in columns}).drop(
-        "chunk_", *[f"{c}_start_" for c in columns]
+        "chunk_", "more_", *[f"{c}_start_" for c in columns]
     )
 
 
@@ -53,3 +54,15 @@ def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         .withColumn(name, position)
         .drop("at_", "part_", "offset_")
     )
+
+
+def rank_within(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Add a 1-based rank inside each group, in a total order.
+
+    One sort over group and order ranks all groups together, so a group holding a third of all
+    rows is sorted by many tasks; each group then counts from its own first position.
+    """
+    placed = checkpointed(dense_index(df, [F.asc(group), *order], "place_"))
+    starts = placed.groupBy(group).agg(F.min("place_").alias("start_"))
+    rank = (F.col("place_") - F.col("start_") + 1).alias(name)
+    return placed.join(starts, group).select(*df.columns, rank)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from graphquarry.operators.ordered import FILL_CHUNK, fill_forward
+from graphquarry.operators.ordered import FILL_CHUNK, fill_forward, rank_within
 from graphquarry.operators.resolve import path_index
 
 SHA = r"^([0-9a-f]{40,64}) \d+ \d+"
 
 
-def _mail(text: F.Column) -> F.Column:
+def _mail(text: Column) -> Column:
     return F.regexp_replace(text, "^<+|>+$", "")
 
 
@@ -89,9 +89,8 @@ def ownership_share(counts: DataFrame) -> DataFrame:
 
 
 def ranked_owners(shares: DataFrame) -> DataFrame:
-    """Add ``rank``: most lines first within each file (H10); a group is one file's authors."""
-    order = Window.partitionBy("path").orderBy(F.desc("line_count"), "email", "author")
-    return shares.withColumn("rank", F.row_number().over(order))
+    """Add ``rank``: most lines first within each file."""
+    return rank_within(shares, "path", [F.desc("line_count"), F.asc("email"), F.asc("author")], "rank")
 
 
 def persons(counts: DataFrame, entities: DataFrame) -> DataFrame:

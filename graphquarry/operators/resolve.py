@@ -18,14 +18,19 @@ TS_SUFFIXES = (".ts", "/index.ts", ".tsx", "/index.tsx")
 
 
 def _first_existing(declared: DataFrame, candidates: Column, files: DataFrame, *key: str) -> DataFrame:
+    """Lowest candidate that exists per ``key``; ``candidates`` must derive from the key alone.
+
+    Only the position is aggregated, a fixed-width value that hashes; the path follows from it.
+    """
     expanded = declared.select(*key, F.posexplode(candidates).alias("pos_", "target"))
     known = files.select(F.col("path").alias("target")).distinct()
-    return (
+    best = (
         expanded.where(~F.contains("target", F.lit("..")))
         .join(known, "target")
         .groupBy(*key)
-        .agg(F.min_by("target", "pos_").alias("target"))
+        .agg(F.min("pos_").alias("pos_"))
     )
+    return best.withColumn("target", F.get(candidates, F.col("pos_"))).drop("pos_")
 
 
 def _as_edges(resolved: DataFrame, kind: str) -> DataFrame:
@@ -92,7 +97,7 @@ def ts_targets(specifiers: DataFrame, files: DataFrame, mode: str = "normalized"
         .select("path", "specifier", place.alias("place"))
         .distinct()
     )
-    return _first_existing(relative, candidates, files, "path", "specifier")
+    return _first_existing(relative, candidates, files, "path", "specifier", "place").drop("place")
 
 
 def ts_edges(specifiers: DataFrame, files: DataFrame, mode: str = "normalized") -> DataFrame:

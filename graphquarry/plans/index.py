@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphquarry.functions import paths
 from graphquarry.operators import cochange, extract, ownership, resolve
+from graphquarry.session import checkpointed
 from graphquarry.sources import commit_log, tables
 from graphquarry.sources.source_tree import scannable
 
@@ -16,16 +17,20 @@ def file_id(path: Column) -> Column:
 
 
 def structure(files: DataFrame, ts_mode: str = "normalized") -> tuple[DataFrame, DataFrame]:
-    """Entities ``(kind, name, path, language)`` and import edges of ``(path, source)`` files."""
-    source = scannable(files)
+    """Entities ``(kind, name, path, language)`` and import edges of ``(path, source)`` files.
+
+    The text is read once: its facts, a small fraction of it, are written to the checkpoint
+    folder and feed the items and all three resolvers.
+    """
+    found = checkpointed(extract.facts(scannable(files)))
     registered = extract.file_registration(files)
     entities = registered.select(F.lit("File").alias("kind"), "name", "path", "language").unionByName(
-        extract.item_entities(extract.rust_items(source))
+        extract.item_entities(extract.items_of(found))
     )
     by_path = (
-        resolve.mod_edges(extract.rust_mods(source), registered)
-        .unionByName(resolve.crate_use_edges(extract.rust_uses(source), registered))
-        .unionByName(resolve.ts_edges(extract.ts_specifiers(source), registered, ts_mode))
+        resolve.mod_edges(extract.mods_of(found), registered)
+        .unionByName(resolve.crate_use_edges(extract.uses_of(found), registered))
+        .unionByName(resolve.ts_edges(extract.specifiers_of(found), registered, ts_mode))
     )
     edges = by_path.select(
         file_id(F.col("from_path")).alias("from_id"), file_id(F.col("to_path")).alias("to_id"),
@@ -51,7 +56,8 @@ def build(
     entities = tables.new_entities(rows)
     if commits is not None:
         changed = commit_log.changes(commit_log.newest_commits(commits, commit_limit))
-        scored = cochange.cochange_confidence(cochange.cochange_pairs(changed))
+        pairs = checkpointed(cochange.cochange_pairs(changed))
+        scored = cochange.cochange_confidence(pairs)
         edge_rows = edge_rows.unionByName(cochange.cochange_edges(scored, entities))
     if line_counts is not None:
         tracked = line_counts.join(entities.where("kind = 'File'").select("path"), "path", "left_semi")

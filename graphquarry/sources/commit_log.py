@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphquarry.functions.text import let
 from graphquarry.schemas import MAX_COMMITS
 
 # The marker line and the number of header lines after it.
@@ -21,8 +22,10 @@ def parse_commits(records: DataFrame) -> DataFrame:
     body = F.regexp_replace("record", f"^({MARKER}\r?\n)+", "")
     lines = F.split(body, "\r?\n")
     header = [F.get(F.col("lines"), F.lit(i)) for i in range(HEADER_LINES)]
-    rest = F.slice("lines", F.lit(HEADER_LINES + 1), F.size("lines"))
-    changes = F.filter(F.transform(rest, _change), lambda c: c["path"].isNotNull())
+    rest = F.filter(
+        F.slice("lines", F.lit(HEADER_LINES + 1), F.size("lines")), lambda line: F.contains(line, F.lit("\t"))
+    )
+    changes = F.transform(rest, lambda line: let(F.split(line, "\t", 3), _change))
     return (
         records.select(lines.alias("lines"))
         .where(F.size("lines") >= HEADER_LINES)
@@ -37,8 +40,7 @@ def parse_commits(records: DataFrame) -> DataFrame:
     )
 
 
-def _change(line: Column) -> Column:
-    fields = F.split(line, "\t", 3)
+def _change(fields: Column) -> Column:
     return F.struct(change_path(fields).alias("path"), change_kind(F.get(fields, F.lit(0))).alias("kind"))
 
 
@@ -49,7 +51,7 @@ def change_kind(status: Column) -> Column:
 
 
 def change_path(fields: Column) -> Column:
-    """New path of a rename or copy, else the second field; null when there is no path."""
+    """New path of a rename or copy, else the second field."""
     status = F.get(fields, F.lit(0))
     moved = (status.startswith("R") | status.startswith("C")) & (F.size(fields) >= 3)
     return F.when(moved, F.get(fields, F.lit(2))).otherwise(F.get(fields, F.lit(1)))

@@ -455,7 +455,7 @@ def ownership_share(t: Testbed) -> DataFrame:
 
 @query("""
     SELECT path, author, email, line_count,
-           CAST(row_number() OVER (PARTITION BY path ORDER BY line_count DESC, email, author) AS INTEGER) AS rank
+           row_number() OVER (PARTITION BY path ORDER BY line_count DESC, email, author) AS rank
     FROM sql_share""")
 def ownership_ranked(t: Testbed) -> DataFrame:
     shares = ownership.ownership_share(ownership.line_counts(t.blame))
@@ -706,9 +706,55 @@ def node_cochange_top6(t: Testbed) -> DataFrame:
     return report.partner_top(report.cochange_links(links), named)
 
 
-@query()
+@query(f"""
+    SELECT 0 AS section, '' AS key, concat('{{"repo":"testbed","stats":', to_json({{
+               'files': (SELECT count(*) FROM sql_nodes),
+               'struct_edges': (SELECT count(*) FROM sql_links WHERE kind IN {_in(REPORT_LINK_KINDS)}),
+               'cochange_edges': (SELECT count(*) FROM sql_pair_links),
+               'owners': (SELECT count(*) FROM sql_owners), 'crates': (SELECT count(*) FROM sql_crates)}}),
+           ',"nodes":[') AS text
+    UNION ALL
+    SELECT 1, CAST(idx AS STRING), concat(CASE idx WHEN 0 THEN '' ELSE ',' END, to_json({{
+        'id': idx, 'label': label, 'path': path, 'crate': crate, 'crate_idx': crate_idx, 'owner': owner,
+        'owner_email': owner_email, 'owner_idx': owner_idx, 'degree': degree}})) FROM sql_nodes
+    UNION ALL SELECT 2, '', '],"struct_links":['
+    UNION ALL
+    SELECT 3, concat(source, '.', target, '.', rank),
+           concat(CASE row_number() OVER (ORDER BY source, target, rank) WHEN 1 THEN '' ELSE ',' END,
+                  to_json({{'source': source, 'target': target, 'kind': 'struct'}}))
+    FROM (SELECT source, target, CASE kind WHEN 'imports' THEN 1 ELSE 2 END AS rank FROM sql_links
+          WHERE kind IN {_in(REPORT_LINK_KINDS)})
+    UNION ALL SELECT 4, '', '],"cochange_links":['
+    UNION ALL
+    SELECT 5, concat(source, '.', target),
+           concat(CASE row_number() OVER (ORDER BY source, target) WHEN 1 THEN '' ELSE ',' END,
+                  to_json({{'source': source, 'target': target, 'kind': 'cochange', 'confidence': confidence}}))
+    FROM sql_pair_links
+    UNION ALL SELECT 6, '', '],"blast":{{'
+    UNION ALL
+    SELECT 7, concat(idx, '.0'), concat(CASE idx WHEN 0 THEN '' ELSE ',' END, '"', idx, '":[') FROM sql_indexed
+    UNION ALL
+    SELECT 7, concat(source, '.1.', slice), concat(CASE min(slice) OVER (PARTITION BY source) WHEN slice THEN '' ELSE ',' END, list)
+    FROM (SELECT source, node // {report.LIST_CHUNK} AS slice, string_agg(CAST(node AS STRING), ',' ORDER BY node) AS list
+          FROM sql_blast GROUP BY 1, 2)
+    UNION ALL SELECT 7, concat(idx, '.2'), ']' FROM sql_indexed
+    UNION ALL SELECT 8, '', '}},"hotspots":['
+    UNION ALL
+    SELECT 9, concat(-degree, '.', idx),
+           concat(CASE row_number() OVER (ORDER BY degree DESC, idx) WHEN 1 THEN '' ELSE ',' END,
+                  to_json({{'id': idx, 'label': label, 'path': path, 'degree': degree}}))
+    FROM (SELECT * FROM sql_nodes ORDER BY degree DESC, path LIMIT 10)
+    UNION ALL SELECT 10, '', '],"owners":['
+    UNION ALL
+    SELECT 11, CAST(owner_idx AS STRING), concat(CASE owner_idx WHEN 0 THEN '' ELSE ',' END,
+        to_json({{'name': owner, 'count': files}})) FROM sql_owners
+    UNION ALL SELECT 12, '', '],"crates":['
+    UNION ALL
+    SELECT 13, CAST(crate_idx AS STRING), concat(CASE crate_idx WHEN 0 THEN '' ELSE ',' END, to_json(crate)) FROM sql_crates
+    UNION ALL SELECT 14, '', ']}}'""")
 def graph_json(t: Testbed) -> DataFrame:
-    return _report(t).json_fragments("testbed")
+    key = F.array_join(F.col("key").cast("array<string>"), ".").alias("key")
+    return _report(t).json_fragments("testbed").select("section", key, "text")
 
 
 # --- Requests -------------------------------------------------------------------------------
