@@ -15,6 +15,7 @@ from graphquarry.schemas import DEFAULT_DEPTH, MAX_DEPTH, STRUCTURAL_KINDS
 from graphquarry.session import checkpointed
 
 HUB_EDGES = 50_000
+BROADCAST_ROWS = 100_000
 
 
 def adjacency(edges: DataFrame, direction: str = "both", kinds: tuple[str, ...] = STRUCTURAL_KINDS) -> DataFrame:
@@ -52,6 +53,17 @@ def _spread_hubs(adjacent: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFr
     return adjacent.join(hubs, "node", "left").withColumn("chunk", chunk).drop("chunks"), hubs
 
 
+def _meet(step: DataFrame, adjacent: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Join frontier rows with the edges at their node, hub rows once per chunk."""
+    if hubs is None:
+        return step.join(adjacent, "node")
+    last = F.coalesce("chunks", F.lit(1)) - 1
+    dealt = step.join(hubs, "node", "left").select(
+        "source", "node", "max_depth", F.explode(F.sequence(F.lit(0), last)).alias("chunk")
+    )
+    return dealt.join(adjacent, ["node", "chunk"])
+
+
 def reach(
     starts: DataFrame,
     edges: DataFrame,
@@ -59,29 +71,30 @@ def reach(
     max_depth: int = MAX_DEPTH,
     kinds: tuple[str, ...] = STRUCTURAL_KINDS,
     hub_edges: int = HUB_EDGES,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(source, node, depth, rank)`` of all nodes within reach, the start left out.
 
     ``starts`` holds ``(source, max_depth)``, one row per source; ``max_depth`` caps them all.
-    ``edges`` is scanned once per hop: pass a stored or checkpointed table.
+    ``edges`` is scanned once per hop: pass a stored or checkpointed table. A frontier counted at
+    ``broadcast_rows`` or fewer is sent to the edges, which then stay where they are; a larger one
+    meets them in a shuffle join.
     """
-    adjacent, hubs = _spread_hubs(adjacency(edges, direction, kinds), hub_edges)
+    adjacent, spread = adjacency(edges, direction, kinds), None
     frontier = checkpointed(starts.select(
         "source", F.col("source").alias("node"),
         F.lit(0).alias("depth"), F.lit(None).cast("int").alias("rank"),
         F.col("max_depth").cast("int").alias("max_depth"),
     ))
-    levels = [frontier]
+    levels, size = [frontier], frontier.count()
     for depth in range(1, max_depth + 1):
         step = frontier.where(F.col("max_depth") >= depth).select("source", "node", "max_depth")
-        on = ["node"]
-        if hubs is not None:
-            chunks = F.coalesce("chunks", F.lit(1))
-            step = step.join(hubs, "node", "left").select(
-                "source", "node", "max_depth", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
-            )
-            on = ["node", "chunk"]
-        found = step.join(adjacent, on).groupBy("source", F.col("next").alias("node")).agg(
+        if size <= broadcast_rows:
+            met = F.broadcast(step).join(adjacent, "node")
+        else:
+            spread = spread or _spread_hubs(adjacent, hub_edges)
+            met = _meet(step, *spread)
+        found = met.groupBy("source", F.col("next").alias("node")).agg(
             F.lit(depth).alias("depth"), F.min("rank").alias("rank"), F.max("max_depth").alias("max_depth")
         )
         # Over undirected edges a hop can only return to the last two levels.
@@ -92,7 +105,8 @@ def reach(
             levels.append(found)
             break
         frontier = checkpointed(found)
-        if frontier.isEmpty():
+        size = frontier.count()
+        if size == 0:
             break
         levels.append(frontier)
     reached = levels[1] if len(levels) > 1 else levels[0].limit(0)

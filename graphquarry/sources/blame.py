@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graphquarry.sources.listing import read_texts
+
 
 def read_blame_dumps(spark: SparkSession, root: str, suffix: str = ".blame") -> DataFrame:
     """``(path, dump)`` from a folder that mirrors the source tree."""
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}")
-        .text(root, wholetext=True)
-    )
-    start = F.length(F.lit(root.rstrip("/"))) + 2
-    full = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    path = F.regexp_replace(F.substr(full, start), F.lit(f"\\Q{suffix}\\E$"), F.lit(""))
-    return raw.select(path.alias("path"), F.col("value").alias("dump"))
+    path = F.regexp_replace("path", F.lit(f"\\Q{suffix}\\E$"), F.lit(""))
+    return read_texts(spark, root, f"*{suffix}").select(path.alias("path"), F.col("text").alias("dump"))
 
 
 def blame_lines(dumps: DataFrame) -> DataFrame:

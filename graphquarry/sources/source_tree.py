@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphquarry.functions import paths
+from graphquarry.sources.listing import read_texts
 
 
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -13,14 +14,8 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
     Spark's listing leaves out names that begin with ``_`` or ``.``; a ``(path, source)`` table
     has no such limit and takes the same filter through :func:`scannable`.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{rs,ts,tsx}")
-        .text(root, wholetext=True)
-    )
-    below = F.length(F.lit(root.rstrip("/"))) + 2
-    full = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    return scannable(raw.select(F.substr(full, below).alias("path"), F.col("value").alias("source")))
+    files = read_texts(spark, root, "*.{rs,ts,tsx}")
+    return scannable(files.withColumnRenamed("text", "source"))
 
 
 def scannable(files: DataFrame) -> DataFrame:

@@ -156,8 +156,8 @@ def brute_reach(edges, start, limit, kinds):
     return {n: (d, kinds[rank[n] % len(kinds)]) for n, d in depth.items() if n != start}
 
 
-@pytest.mark.parametrize("hub_edges", [50_000, 5])
-def test_reach_with_hubs_equals_search(spark, hub_edges):
+@pytest.mark.parametrize("hub_edges, broadcast_rows", [(50_000, 100_000), (50_000, 0), (5, 0), (5, 40)])
+def test_reach_with_hubs_equals_search(spark, hub_edges, broadcast_rows):
     rng = random.Random(11)
     nodes = [f"n{i}" for i in range(60)]
     kinds = list(blast.STRUCTURAL_KINDS) + ["owned_by"]
@@ -167,7 +167,7 @@ def test_reach_with_hubs_equals_search(spark, hub_edges):
     limits = {n: i % 5 for i, n in enumerate(nodes)}
     starts = spark.createDataFrame(list(limits.items()), "source string, max_depth int")
     got = {n: {} for n in nodes}
-    for r in blast.reach(starts, df, hub_edges=hub_edges).select("source", "node", "depth", blast.rank_kind(F.col("rank")).alias("k")).collect():
+    for r in blast.reach(starts, df, hub_edges=hub_edges, broadcast_rows=broadcast_rows).select("source", "node", "depth", blast.rank_kind(F.col("rank")).alias("k")).collect():
         assert r.node not in got[r.source]
         got[r.source][r.node] = (r.depth, r.k)
     for n in nodes:
