@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +15,10 @@ from graphquarry.schemas import COCHANGE_REPORT_THRESHOLD, DEFAULT_DEPTH, DEFAUL
 from graphquarry.sources import tables
 
 
+def _end(direction: str) -> str:
+    return "from_id" if neighbors.outgoing(direction) else "to_id"
+
+
 class CodeGraph:
     """A code-base graph: an entity table and an edge table."""
 
@@ -29,9 +35,11 @@ class CodeGraph:
         return cls.load(files.sparkSession, root)
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str) -> CodeGraph:
-        entities = tables.read_entities(spark, root)
-        return cls(entities, tables.valid_edges(tables.read_edges(spark, root), entities))
+    def load(cls, spark: SparkSession, root: str, validate: bool = True) -> CodeGraph:
+        """Open stored tables; ``validate=False`` skips the endpoint check of edges this
+        library wrote itself, which saves two joins per query."""
+        entities, edges = tables.read_entities(spark, root), tables.read_edges(spark, root)
+        return cls(entities, tables.valid_edges(edges, entities) if validate else edges)
 
     def all_entities(self) -> DataFrame:
         return self.entities
@@ -41,6 +49,16 @@ class CodeGraph:
         wanted = [path] if isinstance(path, str) else list(path)
         return resolve.path_index(self.entities.where(F.col("path").isin(wanted)))
 
+    def _near(self, path: str | Iterable[str], *ends: str) -> tuple[DataFrame, DataFrame]:
+        """The asked entities and the edges at them.
+
+        The ids of the caller's paths become literals, so the filter reaches the Parquet scan
+        and reads the row groups that hold them, not the whole edge table.
+        """
+        ids = [row.id for row in self._ids(path).select("id").collect()]
+        at = [F.col(end).isin(ids) for end in ends]
+        return self.entities.where(F.col("id").isin(ids)), self.edges.where(reduce(or_, at))
+
     def find(self, path: str | Iterable[str]) -> DataFrame:
         return self._ids(path)
 
@@ -57,16 +75,20 @@ class CodeGraph:
         )
 
     def dependencies(self, path: str | Iterable[str], direction: str = "downstream") -> DataFrame:
-        return neighbors.dependencies(self._ids(path), self.edges, self.entities, direction)
+        wanted, edges = self._near(path, _end(direction))
+        return neighbors.dependencies(wanted, edges, self.entities, direction)
 
     def neighbors(self, path: str | Iterable[str], direction: str = "downstream") -> DataFrame:
-        return neighbors.all_neighbors(self._ids(path), self.edges, self.entities, direction)
+        wanted, edges = self._near(path, _end(direction))
+        return neighbors.all_neighbors(wanted, edges, self.entities, direction)
 
     def co_changes(self, path: str | Iterable[str], symmetric: bool = False) -> DataFrame:
-        return neighbors.co_changes(self._ids(path), self.edges, self.entities, symmetric)
+        wanted, edges = self._near(path, *(("from_id", "to_id") if symmetric else ("from_id",)))
+        return neighbors.co_changes(wanted, edges, self.entities, symmetric)
 
     def who_owns(self, path: str | Iterable[str]) -> DataFrame:
-        return neighbors.owners(self._ids(path), self.edges, self.entities)
+        wanted, edges = self._near(path, "from_id")
+        return neighbors.owners(wanted, edges, self.entities)
 
     def hotspots(self, limit: int = DEFAULT_LIMIT) -> DataFrame:
         return neighbors.hotspots(self.entities, self.edges, min(limit, MAX_LIMIT))

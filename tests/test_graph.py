@@ -200,7 +200,12 @@ def test_stored_edges_prune_by_kind(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "edges").glob("kind=*")) == ["kind=co_changes_with", "kind=imports", "kind=owned_by"]
     plan = neighbors.structural(tables.read_edges(spark, str(tmp_path)))._jdf.queryExecution().toString()
     assert "PartitionFilters: [kind" in plan
-    assert CodeGraph.load(spark, str(tmp_path)).edges.count() == 4
+    loaded = CodeGraph.load(spark, str(tmp_path))
+    assert loaded.edges.count() == 4
+    assert CodeGraph.load(spark, str(tmp_path), validate=False).edges.count() == 4
+    plan = loaded.dependencies("src/a.rs")._jdf.queryExecution().toString()
+    assert "PushedFilters: [EqualTo(from_id,a)" in plan or "EqualTo(from_id,a)" in plan
+    assert [r.path for r in loaded.dependencies(["src/a.rs", "src/b.rs"]).orderBy("path").collect()] == ["src/b.rs", "src/c.rs"]
 
 
 REQUESTS = [
