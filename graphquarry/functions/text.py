@@ -79,7 +79,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fact(kind: Column, pos: Column, name: Column, line: Column) -> Column:
+def fact(kind: Column, pos: Column, name: Column, line: Column) -> Column:
     return F.struct(
         kind.cast("string").alias("fact"), pos.cast("int").alias("pos"),
         name.alias("name"), line.cast("int").alias("line"),
@@ -106,7 +106,7 @@ def rust_item_facts(clean: Column) -> Column:
     """
     marked = F.array_join(F.transform(F.split(clean, "\n"), _marked), "\n")
 
-    def fact(piece: Column, index: Column) -> Column:
+    def item(piece: Column, index: Column) -> Column:
         def named(parts: Column) -> Column:
             body = F.get(parts, F.lit(1))
             head = F.ltrim(body)
@@ -119,12 +119,12 @@ def rust_item_facts(clean: Column) -> Column:
                 F.when(function, fn_name(head)).when(implementation, impl_name(head))
                 .otherwise(F.regexp_extract(head, r"^(?:struct|trait)\s+(\w+)", 1))
             )
-            return _fact(kind, index, name, F.get(parts, F.lit(0)))
+            return fact(kind, index, name, F.get(parts, F.lit(0)))
 
         return let(F.split(piece, MARK_END, 2), named)
 
     pieces = F.filter(F.split(marked, MARK), lambda p: F.contains(p, F.lit(MARK_END)))
-    return F.filter(F.transform(pieces, fact), lambda f: f["name"] != "")
+    return F.filter(F.transform(pieces, item), lambda f: f["name"] != "")
 
 
 def fn_name(segment: Column) -> Column:
@@ -151,7 +151,7 @@ def impl_name(segment: Column) -> Column:
 
 
 def _listed(kind: str, found: Column) -> Column:
-    return F.transform(found, lambda name, pos: _fact(F.lit(kind), pos, name, F.lit(None)))
+    return F.transform(found, lambda name, pos: fact(F.lit(kind), pos, name, F.lit(None)))
 
 
 def rust_use_facts(clean: Column) -> Column:

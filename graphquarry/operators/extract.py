@@ -26,10 +26,19 @@ def _rust(files: DataFrame, found: Callable[[Column], Column]) -> DataFrame:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """``(path, fact, pos, name, line)``: every fact of every file in one pass over the text."""
+    """``(path, fact, pos, name, line)``: every fact of every file in one pass over the text.
+
+    Each file also yields one row of fact ``file``, so the text need not be read again to list it.
+    """
+    itself = F.array(text.fact(F.lit("file"), F.lit(0), paths.basename(F.col("path")), F.lit(None)))
     rust = text.let(text.clean_rust(F.col("source")), text.rust_facts)
     script = text.ts_facts(text.clean_typescript(F.col("source")))
-    return _explode(files, F.when(F.col("path").endswith(".rs"), rust).otherwise(script))
+    found = F.when(F.col("path").endswith(".rs"), rust).otherwise(script)
+    return _explode(files, F.concat(itself, found))
+
+
+def files_of(found: DataFrame) -> DataFrame:
+    return file_registration(found.where("fact = 'file'"))
 
 
 def items_of(found: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def structure(files: DataFrame, ts_mode: str = "normalized") -> tuple[DataFrame,
     """Entities ``(kind, name, path, language)`` and import edges of ``(path, source)`` files.
 
     The text is read once: its facts, a small fraction of it, are written to the checkpoint
-    folder and feed the items and all three resolvers.
+    folder and feed the file list, the items and all three resolvers.
     """
     found = checkpointed(extract.facts(scannable(files)))
-    registered = extract.file_registration(files)
+    registered = extract.files_of(found)
     entities = registered.select(F.lit("File").alias("kind"), "name", "path", "language").unionByName(
         extract.item_entities(extract.items_of(found))
     )

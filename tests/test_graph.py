@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from graphquarry import CodeGraph
 from graphquarry.operators import blast, neighbors, ownership
-from graphquarry.plans import index, requests
+from graphquarry.plans import requests
 from graphquarry.plans.report import Report
-from graphquarry.sources import blame, commit_log, source_tree, tables
+from graphquarry.sources import commit_log, source_tree, tables
 from graphquarry.streaming.requests import answer_stream
 
 RUST_REPO = {

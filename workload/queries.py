@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graphquarry.functions import paths
 from graphquarry.operators import blast, cochange, extract, neighbors, ownership, resolve
-from graphquarry.plans import index, requests
+from graphquarry.plans import index, report, requests
 from graphquarry.plans.report import Report, blast_size, link_degree, symmetric_adjacency
-from graphquarry.plans import report
-from graphquarry.functions import paths
-from graphquarry.schemas import ENTITY_KINDS, EDGE_KINDS, REPORT_LINK_KINDS, STRUCTURAL_KINDS
+from graphquarry.schemas import EDGE_KINDS, REPORT_LINK_KINDS, STRUCTURAL_KINDS
 from graphquarry.session import checkpointed, scratch_path
 from graphquarry.sources import commit_log, source_tree, tables
 from graphquarry.streaming.requests import answer_stream
@@ -424,7 +423,9 @@ def change_status(t: Testbed) -> DataFrame:
     SELECT hash, author, email, CAST(epoch(ts) AS BIGINT) AS "timestamp", message FROM tb_commits
     ORDER BY "timestamp" DESC, hash LIMIT 10000""")
 def newest_commits(t: Testbed) -> DataFrame:
-    commits = t.commits.select("hash", "author", "email", F.unix_timestamp("ts").alias("timestamp"), "message")
+    # Order times carry no zone; counting days and clock time keeps the session's zone out.
+    seconds = F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    commits = t.commits.select("hash", "author", "email", seconds.alias("timestamp"), "message")
     return commit_log.newest_commits(commits)
 
 
