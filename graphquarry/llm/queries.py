@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import decontaminate
+from graphquarry.llm import bpe, decontaminate
 
 QUERIES = {
+    "op8_byte_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
 }
 ORACLES = {
