@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate
+from graphquarry.llm import bpe, decontaminate, language
 
 QUERIES = {
+    "op7_compression_language": language.query,
     "op8_byte_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
 }
