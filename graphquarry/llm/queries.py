@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, language
+from graphquarry.llm import bpe, decontaminate, language, pii
 
 QUERIES = {
+    "op4_weak_pii": pii.query,
     "op7_compression_language": language.query,
     "op8_byte_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
