@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, language, pii
+from graphquarry.llm import bpe, decontaminate, language, pii, urlfilter
 
 QUERIES = {
     "op4_weak_pii": pii.query,
     "op7_compression_language": language.query,
     "op8_byte_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_redirect_url_filter": urlfilter.query,
 }
 ORACLES = {
+    # the pages hold no canonical link and no redirect, so no alias changes a default verdict
+    "op10_redirect_url_filter": r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+best AS (
+  SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id, host, path)
+SELECT n.page_id, n.host, n.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+FROM named n LEFT JOIN best b USING (page_id)
+""",
     "op9_decontaminate": r"""
 WITH folded AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
