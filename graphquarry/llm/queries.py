@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, language, pii, urlfilter
+from graphquarry.llm import bpe, decontaminate, language, pii, syncmers, urlfilter
 
 QUERIES = {
     "op4_weak_pii": pii.query,
+    "op6_closed_syncmers": syncmers.query,
     "op7_compression_language": language.query,
     "op8_byte_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
