@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, language, pii, syncmers, urlfilter
+from graphquarry.llm import bpe, decontaminate, language, pii, syncmers, urlfilter, warc
 
 QUERIES = {
+    "op3_arc_to_warc": warc.query,
     "op4_weak_pii": pii.query,
     "op6_closed_syncmers": syncmers.query,
     "op7_compression_language": language.query,
@@ -13,6 +14,12 @@ QUERIES = {
     "op10_redirect_url_filter": urlfilter.query,
 }
 ORACLES = {
+    "op3_arc_to_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM q
+""",
     # the pages hold no canonical link and no redirect, so no alias changes a default verdict
     "op10_redirect_url_filter": r"""
 WITH cut AS (
