@@ -26,8 +26,9 @@ from pyspark.sql.pandas.types import from_arrow_type
 from graphquarry.llm.common import slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_PIECES = 700_000
+CACHED_PIECES = 250_000
 LONGEST_CACHED = 64
+DECODED_ROWS = 256
 IDS = pa.list_(pa.int32())
 OFFSETS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -69,6 +70,7 @@ class Codec:
         self.spaced = np.array([p[:1] == b" " for p in self.pieces])
         self.heads: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.long: list[str] = []
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
@@ -86,15 +88,15 @@ class Codec:
             np.frombuffer(self.heads[first] + b"".join(map(self.known.__getitem__, rest)), np.int32)
             for first, rest in zip(firsts, rests, strict=True)
         ]
-        for cache in (self.heads, self.known):
-            if len(cache) > CACHED_PIECES:
-                now = {p: cache[p] for p in chain(firsts, chain.from_iterable(rests)) if p in cache}
-                cache.clear()
-                cache.update((p, v) for p, v in now.items() if len(p) <= LONGEST_CACHED)
         for piece in self.long:
             self.heads.pop(piece, None)
             self.known.pop(piece, None)
         self.long.clear()
+        # what was used since the last turn stays at hand for another turn
+        if len(self.known) > CACHED_PIECES:
+            self.older, self.known = self.known, {}
+        if len(self.heads) > CACHED_PIECES:
+            self.heads = {}
         return out
 
     def _learn_words(self, pieces: Iterable[str]) -> None:
@@ -106,6 +108,8 @@ class Codec:
         """
         known = self.known
         missing = set(filterfalse(known.__contains__, pieces))
+        known.update((p, self.older[p]) for p in missing if p in self.older)
+        missing = {p for p in missing if p not in self.older}
         ends: dict[str, str] = {}
         for piece in missing:
             word = piece.rstrip(_ENDS)
@@ -169,8 +173,8 @@ def encoder(path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for texts in batches:
-            parts = [_lists(own.encode(part)) for part in slices(texts)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], IDS)
+            for part in slices(texts):
+                yield _lists(own.encode(part))
 
     return encode
 
@@ -180,7 +184,12 @@ def decoder(path: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for lists in batches:
-            yield pa.array([None if x.as_py() is None else own.decode(x.values.to_pylist()) for x in lists], pa.binary())
+            numbers, ends, valid = lists.values.to_numpy(), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+            for k in range(0, len(lists), DECODED_ROWS):
+                rows = range(k, min(k + DECODED_ROWS, len(lists)))
+                yield pa.array(
+                    [own.decode(numbers[ends[i] : ends[i + 1]].tolist()) if valid[i] else None for i in rows], pa.binary()
+                )
 
     return decode
 

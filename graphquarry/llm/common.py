@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphquarry.session import scratch_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LOWEST_ID = -(1 << 63)
 
 

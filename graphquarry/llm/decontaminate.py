@@ -126,7 +126,8 @@ def _scanner(items: list[tuple[str, bytes]], docs: DataFrame, window: int):
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Windows(sent.value, window)
         for texts in batches:
-            yield pa.array([r for part in slices(texts) for r in index.scan(part)], SCAN)
+            for part in slices(texts):
+                yield pa.array(index.scan(part), SCAN)
 
     return scan
 

@@ -121,7 +121,8 @@ def predictor(spark, samples: dict[str, bytes]):
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Identifier(sent.value)
         for texts in batches:
-            yield pa.array([own.predict(t) for part in slices(texts) for t in part], PREDICTION)
+            for part in slices(texts):
+                yield pa.array([own.predict(t) for t in part], PREDICTION)
 
     return predict
 
