@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, language, pii, syncmers, urlfilter, warc
+from graphquarry.llm import bpe, decontaminate, htmltext, language, pii, syncmers, urlfilter, warc
 
 QUERIES = {
     "op3_arc_to_warc": warc.query,
     "op4_weak_pii": pii.query,
+    "op5_block_rule_text": htmltext.query,
     "op6_closed_syncmers": syncmers.query,
     "op7_compression_language": language.query,
     "op8_byte_bpe": bpe.query,
