@@ -2,16 +2,18 @@
 
 A document is its set of distinct five-word shingles. One pass over the texts gives each set a key, band
 hashes and a second, independent signature of one byte per hash. Equal sets become one node. Nodes that
-share a band bucket are candidates. Instead of all pairs of a bucket, rounds compare its members with a
-few centres: links make components, members already in one component need no comparison, and buckets that
-hold a single component are finished. A bucket of ``SMALL_BUCKET`` or fewer members left is finished by its
-remaining pairs, a larger one gets twice as many centres in the next round, until each pair either met or
-lies in one component. No bucket, partner list or candidate list has a cap.
-
-A pair's signatures are compared batch by batch. After each batch the posterior of its similarity, from a flat
-prior, says how likely the threshold still is; below the chosen miss probability the pair is dropped.
-Survivors are verified on their full shingle sets, so no false link remains. The bands' number is
-chosen so that a pair at the threshold is missed with the same probability.
+share a band bucket are candidates. Tasks compare the signatures of a bucket's members batch by batch: after
+each batch the posterior of the similarity, from a flat prior, says how likely the threshold still is, and
+below the chosen miss probability the pair is dropped. Survivors are verified on their full shingle
+sets, so no false link remains. The number of bands is chosen so that a pair at the threshold is missed
+with as small a probability.
+
+Links make components, and pairs inside one component need no test. So rounds hand over survivors
+sparingly: first only a forest of each bucket, likeliest pairs first; then the likeliest few between any two
+components; then all that still join two components. A bucket that holds one component is finished. A large
+bucket is cut into blocks and compared block by block, each pair of blocks in a group of its own; the first
+round takes each block with itself and with one other. A pair is handed over by the first band its nodes
+share only. Nothing has a cap.
 
 Defined cases: null texts and texts without words have no shingle and are linked with nothing; shorter texts
 than a shingle are one shingle; a null id counts as the smallest id and stays null in the result; rows that
@@ -36,8 +38,11 @@ from graphquarry.llm.components import components
 
 SHINGLE_WORDS = 5
 BAND_ROWS = 5
-BATCHES, BATCH = 3, 32
-SMALL_BUCKET = 12
+BATCHES, BATCH = 4, 64
+#: Members of a bucket that are compared as one block.
+BLOCK = 512
+#: Survivors handed over for two components, by round; the first round takes a forest.
+SHARES = (0, 8, None)
 #: Ids sent to all tasks at most (8 bytes each); beyond it the texts are joined by shuffle.
 SENT_IDS = 1_000_000
 RESULT = ("n_shingles", "component_id", "kept")
@@ -49,6 +54,7 @@ class Similarity:
 
     percent: int = 80
     miss: float = 1e-5
+    batch_miss: float = 1e-4
 
     @property
     def bands(self) -> int:
@@ -141,17 +147,52 @@ def least_matches(at_least: float, miss: float) -> list[int]:
     return out
 
 
-def possible(left: np.ndarray, right: np.ndarray, needed: list[int]) -> np.ndarray:
-    """Which signature pairs survive; batches after the first are compared for survivors only."""
-    alive = np.arange(len(left))
-    matches = np.zeros(len(left), np.int64)
+def survivors(left: np.ndarray, right: np.ndarray, needed: list[int], open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of two signature tables that stay possible, and their equal bytes; ``open_`` masks pairs to compare.
+
+    The first batch is compared for all pairs, later ones for those still alive.
+    """
+    i, j = np.nonzero(open_)
+    matches = np.zeros(len(i), np.int64)
     for k, least in enumerate(needed):
         part = slice(k * BATCH, (k + 1) * BATCH)
-        matches[alive] += (left[alive, part] == right[alive, part]).sum(1)
-        alive = alive[matches[alive] >= least]
-    out = np.zeros(len(left), bool)
-    out[alive] = True
-    return out
+        for at in range(0, len(i), 1 << 15):
+            to = slice(at, at + (1 << 15))
+            matches[to] += (left[i[to], part] == right[j[to], part]).sum(1)
+        alive = matches >= least
+        i, j, matches = i[alive], j[alive], matches[alive]
+    return i, j, matches
+
+
+def handed_over(left: np.ndarray, right: np.ndarray, matches: np.ndarray, share: int | None) -> np.ndarray:
+    """Which survivors to verify now, given the components of their ends: a forest (0), the best few, or all."""
+    if share is None or not len(left):
+        return np.arange(len(left))
+    best = np.argsort(-matches, kind="stable")
+    if share:
+        counts: dict[tuple[int, int], int] = {}
+        out = []
+        for k in best.tolist():
+            ends = (left[k], right[k]) if left[k] < right[k] else (right[k], left[k])
+            counts[ends] = counts.get(ends, 0) + 1
+            if counts[ends] <= share:
+                out.append(k)
+        return np.array(out)
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for k, a, b in zip(best.tolist(), left[best].tolist(), right[best].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            top[a] = b
+            out.append(k)
+    return np.array(out)
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -170,15 +211,56 @@ def _feature_udf(bands: int):
     return features
 
 
-def _possible_udf(needed: list[int]):
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BATCHES * BATCH)
-
-    @arrow_udf(from_arrow_type(pa.bool_()))
-    def test(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array(possible(matrix(left), matrix(right), needed), pa.bool_())
-
-    return test
+def _candidate_pairs(needed: list[int], share: int | None):
+    """Streams rows sorted by group; yields the pairs each group hands over."""
+    names = ("bucket", "low", "high", "part", "node", "component")
+
+    def pairs_of(bucket: int, low: int, high: int, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(rows["part"] == low)
+        second = np.flatnonzero(rows["part"] == high)
+        comp = rows["component"]
+        open_ = comp[first][:, None] != comp[second][None, :]
+        if low == high:
+            open_ &= np.arange(len(first))[:, None] < np.arange(len(second))[None, :]
+        i, j, matches = survivors(rows["signature"][first], rows["signature"][second], needed, open_)
+        i, j = first[i], second[j]
+        bands = rows["bands"]
+        own = (bands[i] == bands[j]).argmax(1) == (bands[i] == bucket).argmax(1)
+        i, j, matches = i[own], j[own], matches[own]
+        chosen = handed_over(comp[i], comp[j], matches, share)
+        one, two = rows["node"][i[chosen]] if len(chosen) else i, rows["node"][j[chosen]] if len(chosen) else j
+        return np.minimum(one, two), np.maximum(one, two)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def flush(rows: dict[str, np.ndarray], last: bool) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
+            key = np.stack([rows["bucket"], rows["low"], rows["high"]])
+            edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [key.shape[1]]])
+            done = len(edges) - 1 if last else len(edges) - 2
+            found = []
+            for start, stop in zip(edges[:done].tolist(), edges[1 : done + 1].tolist(), strict=True):
+                if stop - start > 1:
+                    part = {n: v[start:stop] for n, v in rows.items()}
+                    found.append(pairs_of(int(key[0, start]), int(key[1, start]), int(key[2, start]), part))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            rest = {n: v[edges[done] :] for n, v in rows.items()}
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]), rest
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            now = {c: batch.column(c).to_numpy() for c in names}
+            now["bands"] = batch.column("bands").flatten().to_numpy().reshape(n, -1)
+            now["signature"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, -1)
+            held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in now}
+            out, held = flush(held, False)
+            yield out
+        if held is not None:
+            yield flush(held, True)[0]
+
+    return run
 
 
 def _similar_udf(percent: int):
@@ -190,7 +272,7 @@ def _similar_udf(percent: int):
             found = recent.get(data)
             if found is None:
                 found = recent[data] = shingles(data)
-                if len(recent) > 4:
+                if len(recent) > 64:
                     recent.popitem(last=False)
             return found
 
@@ -201,65 +283,65 @@ def _similar_udf(percent: int):
     return test
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    signed = nodes.select("node", "signature")
-    first, second = (signed.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}")) for n in "ab")
-    test = _possible_udf(least_matches(how.percent / 100, how.miss))
-    alive = kept(
-        pairs.join(first, "a").join(second, "b").where(test("sa", "sb")).select("a", "b"), "neardup-survivors"
+def _handed_over(live: DataFrame, nodes: DataFrame, how: Similarity, share: int | None) -> DataFrame:
+    """Pairs (a, b) to verify among the members (bucket, n, node, component) of shared buckets."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = live.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    # the first round compares a block with itself and with block 0
+    near = F.when(F.col("part") == 0, every).otherwise(F.array(F.lit(0), F.col("part")))
+    grouped = placed.withColumn("other", F.explode(near if share == 0 else every)).join(nodes, "node").select(
+        "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node",
+        "component", "bands", "signature",
     )
+    key = ["bucket", "low", "high"]
+    needed = least_matches(how.percent / 100, how.batch_miss)
+    return grouped.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidate_pairs(needed, share), "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
     return kept(
-        alive.join(two, "b").join(one, "a").where(_similar_udf(how.percent)("ta", "tb")).select("a", "b"), "neardup-links"
+        pairs.join(two, "b").join(one, "a").where(_similar_udf(how.percent)("ta", "tb")).select("a", "b"), "neardup-links"
     )
 
 
-def _pairs(centres: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of a centre and a member of its bucket in another component."""
-    met = centres.select("bucket", F.col("node").alias("c"), F.col("component").alias("cc")).join(members, "bucket")
-    return met.where("node <> c AND component <> cc").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-
-
-def link_components(features: DataFrame, texts_of, how: Similarity) -> DataFrame | None:
-    """(node, component) of every linked node; ``features`` has node, bands and signature, one row per node."""
-    nodes = features
+def link_components(nodes: DataFrame, texts_of, how: Similarity) -> DataFrame | None:
+    """(node, component) of every linked node; ``nodes`` has node, bands and signature, one row per node."""
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = kept(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "neardup-buckets")
+    shared = kept(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-buckets")
     if shared.isEmpty():
         return None
-    live = kept(members.join(shared, "bucket").select("bucket", "node", "n", "first"), "neardup-members")
-    wanted = kept(live.select("node").distinct(), "neardup-wanted")
-    texts = texts_of(wanted)
+    live = kept(members.join(shared, "bucket").select("bucket", "node", "n"), "neardup-members")
+    texts = texts_of(kept(live.select("node").distinct(), "neardup-wanted"))
     live = live.withColumn("component", F.col("node"))
-    star = F.col("node") == F.col("first")
     found: DataFrame | None = None
-    width = 1
-    while True:
-        pairs = kept(_pairs(live.where(star), live), "neardup-pairs")
-        links = _verified(pairs, nodes, texts, how)
+    tested: DataFrame | None = None
+    for share in SHARES:
+        pairs = _handed_over(live, nodes, how, share)
+        pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = _verified(pairs, texts, how)
         if not links.isEmpty():
             edges = links.select(F.col("a").alias("left"), F.col("b").alias("right"))
             if found is not None:
                 edges = edges.unionByName(found.select(F.col("node").alias("left"), F.col("component").alias("right")))
             found = kept(components(edges), "neardup-components")
-        # every centre has met its whole bucket
-        rest = live.where(~star).select("bucket", "node")
+        if share is None:
+            break
+        members = live.select("bucket", "n", "node")
         if found is not None:
-            rest = rest.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+            members = members.join(found, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
         else:
-            rest = rest.withColumn("component", F.col("node"))
-        rest = kept(rest, "neardup-rest")
-        open_ = kept(
-            rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high").select("bucket", "n"),
-            "neardup-open",
-        )
-        if open_.isEmpty():
-            return found
-        live = kept(rest.join(open_, "bucket"), "neardup-members")
-        width *= 2
-        star = (F.col("n") <= SMALL_BUCKET) | (F.pmod(F.xxhash64("node", F.lit(width)), F.col("n")) < width)
+            members = members.withColumn("component", F.col("node"))
+        members = kept(members, "neardup-named")
+        low_high = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        unfinished = kept(low_high.where("low <> high").select("bucket"), "neardup-open")
+        if unfinished.isEmpty():
+            break
+        live = kept(members.join(unfinished, "bucket"), "neardup-members")
+    return found
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
