@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, htmltext, language, neardup, pii, syncmers, urlfilter, warc
+from graphquarry.llm import bpe, decontaminate, htmltext, language, lmscore, neardup, pii, syncmers, urlfilter, warc
 
 QUERIES = {
+    "op1_lm_score": lmscore.query,
     "op2_minhash_near_dedup": neardup.query,
     "op3_arc_to_warc": warc.query,
     "op4_weak_pii": pii.query,
