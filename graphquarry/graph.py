@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphquarry.operators import blast, neighbors, resolve
 from graphquarry.plans import index, requests as request_plan
 from graphquarry.plans.report import Report
-from graphquarry.schemas import COCHANGE_REPORT_THRESHOLD, DEFAULT_DEPTH, DEFAULT_LIMIT, MAX_DEPTH, MAX_LIMIT
+from graphquarry.schemas import COCHANGE_REPORT_THRESHOLD, DEFAULT_DEPTH, DEFAULT_LIMIT
 from graphquarry.sources import tables
 
 
@@ -62,14 +62,14 @@ class CodeGraph:
     def find(self, path: str | Iterable[str]) -> DataFrame:
         return self._ids(path)
 
-    def blast_radius(self, path: str | Iterable[str], depth: int = DEFAULT_DEPTH) -> DataFrame:
+    def blast_radius(self, path: str | Iterable[str] | DataFrame, depth: int | None = DEFAULT_DEPTH) -> DataFrame:
         """What a change may affect: reach in both directions, with depth and discovering kind."""
-        return blast.blast_radius(self._ids(path).select("path"), self.edges, self.entities, min(depth, MAX_DEPTH))
+        return blast.blast_radius(self._ids(path).select("path"), self.edges, self.entities, depth)
 
-    def reachable(self, path: str | Iterable[str], depth: int = DEFAULT_DEPTH) -> DataFrame:
+    def reachable(self, path: str | Iterable[str] | DataFrame, depth: int | None = DEFAULT_DEPTH) -> DataFrame:
         """What a file depends on, directly or not: outgoing reach."""
-        starts = self._ids(path).select(F.col("id").alias("source"), F.lit(depth).alias("max_depth"))
-        found = blast.reach(starts, self.edges, "out", depth)
+        starts = self._ids(path).select(F.col("id").alias("source"), F.lit(depth).cast("int").alias("max_depth"))
+        found = blast.reach(starts, self.edges, "out")
         return found.join(self.entities.withColumnRenamed("id", "node"), "node").select(
             "source", "kind", "name", "path", "depth"
         )
@@ -91,10 +91,10 @@ class CodeGraph:
         return neighbors.owners(wanted, edges, self.entities)
 
     def hotspots(self, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        return neighbors.hotspots(self.entities, self.edges, min(limit, MAX_LIMIT))
+        return neighbors.hotspots(self.entities, self.edges, limit)
 
-    def answer(self, requests: DataFrame) -> DataFrame:
-        return request_plan.answer(requests, self.entities, self.edges)
+    def answer(self, requests: DataFrame, bounds: request_plan.Bounds = request_plan.Bounds()) -> DataFrame:
+        return request_plan.answer(requests, self.entities, self.edges, bounds)
 
     def report(self, threshold: float = COCHANGE_REPORT_THRESHOLD) -> Report:
         return Report.build(self.entities, self.edges, threshold)

@@ -83,7 +83,7 @@ def _as_edges(links: DataFrame) -> DataFrame:
 def all_sources_blast(files: DataFrame, links: DataFrame, depth: int = BLAST_DEPTH) -> DataFrame:
     """``(source, node, depth)``: reach of every file over structural links."""
     starts = files.select(F.col("idx").alias("source"), F.lit(depth).alias("max_depth"))
-    return blast.reach(starts, _as_edges(struct_links(links)), "both", depth, REPORT_LINK_KINDS).select(
+    return blast.reach(starts, _as_edges(struct_links(links)), "both", REPORT_LINK_KINDS).select(
         "source", "node", "depth"
     )
 

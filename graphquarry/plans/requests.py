@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphquarry.operators import blast, neighbors, resolve
-from graphquarry.schemas import (
-    DEFAULT_DEPTH, DEFAULT_LIMIT, MAX_DEPTH, MAX_ENTITY_BYTES, MAX_LIMIT, MAX_REQUEST_BYTES,
-    STRUCTURAL_KINDS,
-)
-from graphquarry.session import checkpointed
+from graphquarry.operators.ordered import dense_index
+from graphquarry.schemas import DEFAULT_DEPTH, DEFAULT_LIMIT, STRUCTURAL_KINDS
+from graphquarry.session import stored
 
 # The tools and the texts their answers use.
 TOOLS = ("blast_radius", "dependencies", "co_changes", "who_owns", "hotspots")
 TOO_LARGE = "Request too large"
 BAD_JSON = "Invalid JSON in request"
 NO_ENTITY = "missing required param: entity"
-TOO_LONG = f"entity path too long (max {MAX_ENTITY_BYTES} chars)"
 HAS_DOTS = "entity path must not contain '..'"
 
+#: Ranks one row of a hotspot request unfolds to at a time.
+RANKS = 4096
+
 JSON_REQUEST = (
     "id STRING, method STRING, params STRUCT<name: STRING, arguments: "
     "STRUCT<entity: STRING, depth: BIGINT, direction: STRING, limit: BIGINT>>"
 )
 
 
-def decode_requests(lines: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Bounds:
+    """What a service refuses; all off by default. A request beyond a bound gets an error row that names it."""
+
+    depth: int | None = None
+    limit: int | None = None
+    entity_bytes: int | None = None
+    request_bytes: int | None = None
+
+
+def _over(value: Column, bound: int | None) -> Column:
+    return F.lit(False) if bound is None else value > bound
+
+
+def decode_requests(lines: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """JSON request lines (column ``value``) to request rows; blank lines are skipped.
 
     A tool name may carry a prefix ending in ``_``. Unreadable or oversized lines keep their
     reason in ``decode_error``.
     """
     line = F.trim("value")
-    call = F.from_json(F.when(F.octet_length(line) <= MAX_REQUEST_BYTES, line), JSON_REQUEST)
+    call = F.from_json(F.when(~_over(F.octet_length(line), bounds.request_bytes), line), JSON_REQUEST)
     rows = lines.where(F.length(line) > 0).select(line.alias("line"), call.alias("r"))
     known = F.regexp_extract("r.params.name", rf"(?:^|_)({'|'.join(TOOLS)})$", 1)
     return rows.select(
@@ -40,17 +56,17 @@ def decode_requests(lines: DataFrame) -> DataFrame:
         F.when(known != "", known).otherwise(F.col("r.params.name")).alias("tool"),
         "r.params.arguments.entity", "r.params.arguments.depth",
         "r.params.arguments.direction", "r.params.arguments.limit",
-        F.when(F.octet_length("line") > MAX_REQUEST_BYTES, TOO_LARGE)
+        F.when(_over(F.octet_length("line"), bounds.request_bytes), TOO_LARGE)
         .when(F.try_parse_json("line").isNull(), BAD_JSON).alias("decode_error"),
     )
 
 
-def _bounded(value: Column, default: int, cap: int) -> Column:
-    return F.when(value >= 0, F.least(value, F.lit(cap))).otherwise(default).cast("int")
+def _asked_for(value: Column, default: int) -> Column:
+    return F.when(value >= 0, value).otherwise(default).cast("long")
 
 
-def validated(requests: DataFrame) -> DataFrame:
-    """Apply defaults and caps, and give ``error`` where a request cannot be answered."""
+def validated(requests: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """Apply defaults, and give ``error`` where a request cannot be answered."""
     tool, entity = F.coalesce("tool", F.lit("")), F.col("entity")
     needs_entity = tool != "hotspots"
     earlier = F.col("decode_error") if "decode_error" in requests.columns else F.lit(None).cast("string")
@@ -58,20 +74,26 @@ def validated(requests: DataFrame) -> DataFrame:
         F.when(earlier.isNotNull(), earlier)
         .when(~tool.isin(*TOOLS), F.concat(F.lit("Unknown tool: "), tool))
         .when(needs_entity & entity.isNull(), NO_ENTITY)
-        .when(needs_entity & (F.octet_length(entity) > MAX_ENTITY_BYTES), TOO_LONG)
+        .when(needs_entity & _over(F.octet_length(entity), bounds.entity_bytes), f"entity path too long (max {bounds.entity_bytes} chars)")
         .when(needs_entity & F.contains(entity, F.lit("..")), HAS_DOTS)
+        .when((tool == "blast_radius") & _over(F.col("depth"), bounds.depth), f"depth too large (max {bounds.depth})")
+        .when((tool == "hotspots") & _over(F.col("limit"), bounds.limit), f"limit too large (max {bounds.limit})")
     )
     return requests.select(
         "request_id", "tool", "entity",
-        _bounded(F.col("depth"), DEFAULT_DEPTH, MAX_DEPTH).alias("depth"),
+        _asked_for(F.col("depth"), DEFAULT_DEPTH).alias("depth"),
         F.coalesce("direction", F.lit("downstream")).alias("direction"),
-        _bounded(F.col("limit"), DEFAULT_LIMIT, MAX_LIMIT).alias("limit"),
+        _asked_for(F.col("limit"), DEFAULT_LIMIT).alias("limit"),
         error.alias("error"),
     )
 
 
 def _one_hop(asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """Dependencies, co-changes and owners in one outer join on (entity, direction, edge class)."""
+    """Dependencies, co-changes and owners in one join on (tool, entity, direction).
+
+    Equal questions are asked once; requests without an entity keep out of the join, where their
+    missing keys would meet in one task.
+    """
     group = F.when(F.col("kind").isin(*STRUCTURAL_KINDS), "dependencies").when(
         F.col("kind") == "co_changes_with", "co_changes").when(F.col("kind") == "owned_by", "who_owns")
     used = edges.where(F.col("kind").isin(*STRUCTURAL_KINDS, "co_changes_with", "owned_by"))
@@ -85,68 +107,119 @@ def _one_hop(asked: DataFrame, edges: DataFrame) -> DataFrame:
     ).where("w.out OR tool = 'dependencies'")
     hops = hops.select("tool", "w.id", "w.far", "w.out", F.col("kind").alias("edge_kind"), "confidence")
     out = (F.col("tool") != "dependencies") | (F.col("direction") != "upstream")
-    return (
-        asked.where(F.col("tool").isin("dependencies", "co_changes", "who_owns"))
-        .withColumn("out", out)
-        .join(hops, ["tool", "id", "out"], "left")
-        .select(
-            "request_id", "tool", "entity", "direction", "id", "far",
-            F.col("edge_kind"),
-            F.when(F.col("tool") != "dependencies", F.col("confidence")).alias("value"),
-        )
+    calls = asked.where(F.col("tool").isin("dependencies", "co_changes", "who_owns")).withColumn("out", out)
+    questions = stored(calls.where("id IS NOT NULL").select("tool", "id", "out").distinct(), "requests-hops")
+    found = stored(hops.join(questions, ["tool", "id", "out"], "left_semi"), "requests-edges")
+    known = calls.where("id IS NOT NULL").join(found, ["tool", "id", "out"], "left")
+    return known.unionByName(calls.where("id IS NULL"), allowMissingColumns=True).select(
+        "request_id", "tool", "entity", "direction", "id", "far",
+        F.col("edge_kind"),
+        F.when(F.col("tool") != "dependencies", F.col("confidence")).alias("value"),
     )
 
 
-def _blast(asked: DataFrame, edges: DataFrame) -> DataFrame:
+def _blast(asked: DataFrame, graph: DataFrame | blast.Adjacency) -> DataFrame:
     """Blast radius of the distinct entities asked for, joined back to every request."""
     calls = asked.where("tool = 'blast_radius'")
     starts = calls.where("id IS NOT NULL").groupBy(F.col("id").alias("source")).agg(
-        F.max("depth").alias("max_depth")
+        F.max("depth").cast("int").alias("max_depth")
     )
-    found = blast.reach(starts, edges).select(
-        F.col("source").alias("id"), F.col("node").alias("far"), F.col("depth").alias("at"),
-        blast.rank_kind(F.col("rank")).alias("edge_kind"),
+    found = stored(
+        blast.reach(starts, graph).select(
+            F.col("source").alias("id"), F.col("node").alias("far"), F.col("depth").alias("at"),
+            blast.rank_kind(F.col("rank")).alias("edge_kind"),
+        ),
+        "requests-reach",
     )
-    near = (calls["id"] == found["id"]) & (found["at"] <= calls["depth"])
-    return calls.join(found, near, "left").select(
-        "request_id", "tool", "entity", "direction", calls["id"], "far", "edge_kind",
-        F.col("at").cast("double").alias("value"),
+    known = calls.where("id IS NOT NULL")
+    near = (known["id"] == found["id"]) & (found["at"] <= known["depth"])
+    met = known.join(found, near, "left").select(
+        "request_id", "tool", "entity", "direction", known["id"], "far", "edge_kind", F.col("at").cast("double").alias("value"),
+    )
+    return met.unionByName(
+        calls.where("id IS NULL").select("request_id", "tool", "entity", "direction", "id"), allowMissingColumns=True
     )
 
 
-def _hotspots(asked: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """The top list once, at most ``MAX_LIMIT`` rows, dealt to each request up to its limit."""
-    top = neighbors.hotspots(entities, edges, MAX_LIMIT).select(
-        F.struct("name", "path", "edge_count").alias("h")
-    )
-    ordered = F.array_sort(
-        F.collect_list("h"),
-        lambda a, b: F.when(a["edge_count"] > b["edge_count"], -1).when(a["edge_count"] < b["edge_count"], 1)
-        .when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0),
+def _hotspots(asked: DataFrame, ranking: DataFrame | None) -> DataFrame | None:
+    """Every hotspot request with the first rows of the ranking, up to its limit; None if nobody asks.
+
+    A request unfolds to its ranks in slices, so no single row holds more than ``RANKS`` of them.
+    """
+    calls = asked.where("tool = 'hotspots'").select("request_id", "tool", "limit")
+    if ranking is None:
+        return None
+    total = F.lit(ranking.count())
+    rows = F.least(F.col("limit"), total)
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((rows - 1) / RANKS))).alias("slice")
+    within = F.explode(F.sequence(F.col("slice") * RANKS + 1, F.least("rows", (F.col("slice") + 1) * RANKS)))
+    dealt = (
+        calls.where(rows > 0).select("request_id", "tool", rows.alias("rows"), slices)
+        .select("request_id", "tool", within.alias("rank"))
     )
-    ranked = top.agg(ordered.alias("hs")).scalar()
-    calls = asked.where("tool = 'hotspots'")
-    dealt = calls.select("request_id", "tool", F.slice(ranked, F.lit(1), F.col("limit")).alias("hs"))
-    return dealt.select("request_id", "tool", F.posexplode_outer("hs").alias("pos", "h")).select(
-        "request_id", "tool", (F.col("pos") + 1).alias("rank"),
-        F.coalesce("h.path", "h.name").alias("result"), F.col("h.edge_count").cast("double").alias("value"),
+    none = calls.where(rows <= 0).select("request_id", "tool")
+    return dealt.join(ranking, "rank").unionByName(none, allowMissingColumns=True).select(
+        "request_id", "tool", F.col("rank").cast("int").alias("rank"), "result", "value"
     )
 
 
-def answer(requests: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+class Prepared:
+    """What all batches of requests share: entity and path tables, adjacency, and the ranking once it is asked for."""
+
+    def __init__(self, entities: DataFrame, edges: DataFrame):
+        self.entities, self.edges = entities, edges
+        self.ids = stored(resolve.path_index(entities).select(F.col("path").alias("entity"), "id"), "requests-paths")
+        self._graph: blast.Adjacency | None = None
+        self._ranking: DataFrame | None = None
+        self._ranked = 0
+
+    def graph(self) -> blast.Adjacency:
+        if self._graph is None:
+            self._graph = blast.Adjacency(self.edges)
+        return self._graph
+
+    def ranking(self, longest: int) -> DataFrame:
+        """``(rank, result, value)`` of at least the ``longest`` first hotspots."""
+        if self._ranking is None or self._ranked < longest:
+            scored = neighbors.scored_hotspots(self.entities, self.edges)
+            order = [F.desc("edge_count"), F.asc("path"), F.asc("id")]
+            # twice what is asked for, so that few longer questions rank anew
+            top = dense_index(scored.orderBy(*order).limit(min(2 * longest, (1 << 31) - 1)), order, "at")
+            self._ranking = stored(
+                top.select((F.col("at") + 1).alias("rank"), F.coalesce("path", "name").alias("result"), F.col("edge_count").cast("double").alias("value")),
+                "requests-ranking",
+            )
+            self._ranked = 2 * longest
+        return self._ranking
+
+
+def answer(
+    requests: DataFrame, entities: DataFrame, edges: DataFrame, bounds: Bounds = Bounds(), prepared: Prepared | None = None
+) -> DataFrame:
     """Answer a table of requests.
 
     Result: ``(request_id, tool, status, result, detail, value, rank, message)``; ``status`` is
     ``ok``, ``empty`` or ``error``. ``value`` holds the depth, confidence or degree. Edges must
     be valid (both endpoints present). Outer joins carry requests without a match through, so
-    every request appears without a second pass over the answers.
+    every request appears without a second pass over the answers. ``prepared`` is shared by the
+    batches of a stream.
     """
-    checked = validated(requests)
-    ids = resolve.path_index(entities).select(F.col("path").alias("entity"), "id")
-    asked = checkpointed(checked.where("error IS NULL").join(ids, "entity", "left"))
+    ready = prepared or Prepared(entities, edges)
+    checked = validated(requests, bounds)
+    valid = checked.where("error IS NULL")
+    asked = stored(
+        valid.where("entity IS NOT NULL").join(ready.ids, "entity", "left")
+        .unionByName(valid.where("entity IS NULL"), allowMissingColumns=True),
+        "requests-asked",
+    )
+    tools = {r["tool"]: r["longest"] for r in asked.groupBy("tool").agg(F.max("limit").alias("longest")).collect()}
 
     far = entities.select(F.col("id").alias("far"), F.col("kind").alias("far_kind"), "name", "path")
-    graph_rows = _one_hop(asked, edges).unionByName(_blast(asked, edges)).join(far, "far", "left")
+    near = _one_hop(asked, edges)
+    if "blast_radius" in tools:
+        near = near.unionByName(_blast(asked, ready.graph()))
+    near = stored(near, "requests-near")
+    graph_rows = near.where("far IS NOT NULL").join(far, "far").unionByName(near.where("far IS NULL"), allowMissingColumns=True)
     shown = F.when(F.col("tool") == "who_owns", F.col("name")).otherwise(neighbors.display_key())
     detail = F.when(F.col("tool") == "dependencies", F.col("far_kind")).when(
         F.col("tool") == "blast_radius", F.col("edge_kind"))
@@ -166,8 +239,9 @@ def answer(requests: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFr
         F.lit(None).cast("int").alias("rank"),
         F.when(~found, nothing).alias("message"),
     )
-    hot = _hotspots(asked, entities, edges)
+    hot = _hotspots(asked, ready.ranking(max(tools["hotspots"], 1)) if "hotspots" in tools else None)
     some = F.col("result").isNotNull()
+    hot = asked.limit(0).selectExpr("request_id", "tool", "CAST(NULL AS INT) AS rank", "entity AS result", "CAST(NULL AS DOUBLE) AS value") if hot is None else hot
     hot = hot.select(
         "request_id", "tool", F.when(some, "ok").otherwise("empty").alias("status"), "result",
         F.lit(None).cast("string").alias("detail"), "value", "rank",

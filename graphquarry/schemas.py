@@ -22,14 +22,9 @@ REPORT_LINK_KINDS = ("imports", "depends_on")
 EVIDENCE_COUNT = 1
 DECAY_HALF_LIFE = 180.0
 
-# Request limits.
-MAX_COMMITS = 10_000
+# What a request gets that does not say.
 DEFAULT_DEPTH = 3
-MAX_DEPTH = 10
 DEFAULT_LIMIT = 20
-MAX_LIMIT = 500
-MAX_ENTITY_BYTES = 1024
-MAX_REQUEST_BYTES = 1_048_576
 COCHANGE_REPORT_THRESHOLD = 0.25
 
 ENTITY = T.StructType([

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphquarry.functions.text import let
-from graphquarry.schemas import MAX_COMMITS
 
 # The marker line and the number of header lines after it.
 MARKER = "COMMIT_START"
@@ -63,12 +62,14 @@ def changes(commits: DataFrame) -> DataFrame:
 
 
 def newest_commits(commits: DataFrame, limit: int | None = None) -> DataFrame:
-    """Newest commits first, merges left out when a ``parents`` column tells them (H1).
+    """The ``limit`` newest commits, all without a limit; merges are left out when a ``parents`` column tells them (H1).
 
-    The row limit is the request's own, capped at the fixed maximum, so this is a
-    distributed top-k and never a full sort.
+    Only (timestamp, hash) keys are ranked, as a distributed top-k; the change lists of the chosen
+    commits are then joined back. Equal keys beyond the limit come along.
     """
-    keep = MAX_COMMITS if limit is None else min(limit, MAX_COMMITS)
     if "parents" in commits.columns:
         commits = commits.where(F.size("parents") <= 1)
-    return commits.orderBy(F.desc("timestamp"), "hash").limit(keep)
+    if limit is None:
+        return commits
+    newest = commits.select("timestamp", "hash").orderBy(F.desc("timestamp"), "hash").limit(limit)
+    return commits.join(newest, ["timestamp", "hash"], "left_semi")

@@ -113,13 +113,12 @@ SQL_VIEWS = VIEWS | {
         LEFT JOIN sql_primary USING (id) LEFT JOIN sql_owners USING (owner) LEFT JOIN sql_link_degree USING (idx)""",
     "sql_checked": f"""
         SELECT request_id, tool, entity,
-               CAST(CASE WHEN depth IS NULL THEN 3 ELSE least(depth, 10) END AS INTEGER) AS depth,
+               CAST(coalesce(depth, 3) AS BIGINT) AS depth,
                coalesce(direction, 'downstream') AS direction,
-               CAST(CASE WHEN "limit" IS NULL THEN 20 ELSE least("limit", 500) END AS INTEGER) AS "limit",
+               CAST(coalesce("limit", 20) AS BIGINT) AS "limit",
                CASE WHEN tool NOT IN {_in(requests.TOOLS)} THEN concat('Unknown tool: ', tool)
                     WHEN tool = 'hotspots' THEN NULL
                     WHEN entity IS NULL THEN 'missing required param: entity'
-                    WHEN strlen(entity) > 1024 THEN 'entity path too long (max 1024 chars)'
                     WHEN contains(entity, '..') THEN 'entity path must not contain ''..''' END AS error
         FROM tb_requests""",
     "sql_asked": """
@@ -127,7 +126,8 @@ SQL_VIEWS = VIEWS | {
     "sql_wave": f"""
         SELECT DISTINCT id AS source, id AS node, 0 AS depth FROM sql_asked WHERE tool = 'blast_radius' AND id IS NOT NULL
         UNION
-        SELECT source, next, depth + 1 FROM sql_wave JOIN sql_adjacent USING (node) WHERE depth < 10""",
+        SELECT source, next, depth + 1 FROM sql_wave JOIN sql_adjacent USING (node)
+        WHERE depth < (SELECT max(depth) FROM sql_asked WHERE tool = 'blast_radius')""",
     "sql_wave_depth": "SELECT source, node, min(depth) AS depth FROM sql_wave GROUP BY source, node HAVING min(depth) > 0",
     "sql_wave_kind": f"""
         SELECT b.source, b.node, b.depth, min(rank) AS rank
@@ -420,13 +420,22 @@ def change_status(t: Testbed) -> DataFrame:
 
 
 @query("""
-    SELECT hash, author, email, CAST(epoch(ts) AS BIGINT) AS "timestamp", message FROM tb_commits
-    ORDER BY "timestamp" DESC, hash LIMIT 10000""")
+    SELECT hash, author, email, CAST(epoch(ts) AS BIGINT) AS "timestamp", message FROM tb_commits""")
 def newest_commits(t: Testbed) -> DataFrame:
+    return commit_log.newest_commits(_dated_commits(t))
+
+
+@query("""
+    SELECT hash, author, email, CAST(epoch(ts) AS BIGINT) AS "timestamp", message FROM tb_commits
+    ORDER BY "timestamp" DESC, hash LIMIT 700""")
+def commits_limited(t: Testbed) -> DataFrame:
+    return commit_log.newest_commits(_dated_commits(t), 700)
+
+
+def _dated_commits(t: Testbed) -> DataFrame:
     # Order times carry no zone; counting days and clock time keeps the session's zone out.
     seconds = F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
-    commits = t.commits.select("hash", "author", "email", seconds.alias("timestamp"), "message")
-    return commit_log.newest_commits(commits)
+    return t.commits.select("hash", "author", "email", seconds.alias("timestamp"), "message")
 
 
 @query("SELECT * FROM sql_pairs")
@@ -584,7 +593,7 @@ def who_owns(t: Testbed) -> DataFrame:
 @query("SELECT source, node, min(depth) AS depth FROM sql_out GROUP BY source, node HAVING min(depth) > 0")
 def blast_out(t: Testbed) -> DataFrame:
     starts = t.files.select(F.col("id").alias("source"), F.lit(3).alias("max_depth"))
-    return blast.reach(starts, checkpointed(t.edges), "out", 3).select("source", "node", "depth")
+    return blast.reach(starts, checkpointed(t.edges), "out").select("source", "node", "depth")
 
 
 @query("""
