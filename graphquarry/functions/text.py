@@ -1,8 +1,9 @@
 """Source-text columns: blanking of comments and literals, item marks, fact patterns.
 
 Everything here is a narrow, per-row expression: no shuffle is needed to go from one file's
-text to its facts. Patterns avoid repeated groups over arbitrary text, which would recurse once
-per character in the JVM's regex engine and overflow its stack on long inputs.
+text to its facts. Comments and literals are found by one pattern that takes, at each place, whichever of
+them begins first, so none can hide inside another. Repeated groups are possessive: the JVM's regex engine
+runs those as loops, whatever the length of the text.
 """
 
 from __future__ import annotations
@@ -21,57 +22,84 @@ RUST_PRIMITIVES = (
     "isize", "usize", "f32", "f64", "bool", "str", "char",
 )
 
+TOKEN, TOKEN_END = "\u0004", "\u0005"  # around a comment or literal
+#: Levels of nested comments, brackets and generics that the patterns spell out.
+NESTING = 32
+
+
+def nested(opens: str, closes: str, other: str) -> str:
+    """A pattern of ``opens`` up to its own ``closes``; ``other`` is what may stand between, as possessive runs."""
+    inner = f"{opens}(?:{other})*+{closes}"
+    for _ in range(NESTING - 1):
+        inner = f"{opens}(?:{other}|{inner})*+{closes}"
+    return inner
+
+
+BLOCK_COMMENT = nested(r"/\*", r"\*/", r"[^*/]++|\*(?!/)|/(?!\*)")
+BRACES = nested(r"\{", r"\}", r"[^{}]++")
+BRACKETS = nested(r"\[", r"\]", r"[^\[\]]++")
+ANGLES = nested("<", ">", "[^<>]++")
+
+RUST_TOKEN = (
+    r"(?s)//[^\n]*+|" + BLOCK_COMMENT
+    + r'|\bb?r(#*+)"(?:[^"]|"(?!\1))*+"\1|"(?:[^"\\]|\\.)*+"'
+    + r"|'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]*+\}|x[0-9a-fA-F]{2}|.))'"
+)
+TS_TOKEN = (
+    r"(?s)//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
+    r"""|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"""
+)
+RUST_MACRO = r"\bmacro_rules!\s*+(?:r#)?\w++\s*+" + BRACES
 RUST_ITEM = r"(?=\b(?:fn|struct|trait)\s+\w)"
+RUST_SPLIT_ITEM = r"\b(fn|struct|trait)[ \t]*+(\n\s*+)((?:r#)?\w++)"
 RUST_IMPL = r"(^|[{};\]])(\s*)(?=(?:unsafe\s+)?impl\b)"
-RUST_USE = r"(?m)(?:^|[{};])[ \t]*((?:pub(?:\([^)]*\))?\s+)?use\s+[^;]+)(?=;)"
-RUST_MOD = r"(?m)(?:^|[{};\]])[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*(?=;)"
+RUST_USE = r"(?m)(?:^|[{};\]])[ \t]*((?:pub(?:\([^)]*\))?\s+)?use\s+[^;]+)(?=;)"
+RUST_MOD = r"(?m)(?:^|[{};\]])[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+((?:r#)?\w+)\s*(?=;)"
 TS_SPECIFIER = (
     r"""(?m)(?:^|;)[ \t]*(?:import\s*|(?:import|export)\b[^;"'=()]*?\bfrom\s*)"""
     r"""(["'])([^"'\n]+)\1"""
 )
 
 
-def _newlines_only(piece: Column) -> Column:
+def _newlines(piece: Column) -> Column:
     return F.regexp_replace(piece, r"[^\n]+", "")
 
 
-def _blank_pieces(text: Column, boundary: str, opens: str, closes: str) -> Column:
-    """Cut ``text`` at ``boundary`` and reduce each closed piece to its newlines."""
-    return F.array_join(
-        F.transform(
-            F.split(text, boundary),
-            lambda p: F.when(p.rlike(opens) & p.rlike(closes), _newlines_only(p)).otherwise(p),
-        ),
-        "",
+def _tokens_replaced(text: Column, token: str, replaced: Callable[[Column], Column]) -> Column:
+    """``text`` with every match of ``token`` replaced by what ``replaced`` makes of it."""
+    marked = F.regexp_replace(text, F.lit(token), F.lit(f"{TOKEN}$0{TOKEN_END}"))
+    pieces = F.transform(
+        F.split(marked, f"(?={TOKEN})|(?<={TOKEN_END})"),
+        lambda p: F.when(p.startswith(TOKEN), replaced(F.translate(p, TOKEN + TOKEN_END, ""))).otherwise(p),
     )
+    return F.array_join(pieces, "")
 
 
-def _blank_block_comments(text: Column) -> Column:
-    return _blank_pieces(text, r"(?=/\*)|(?<=\*/)", r"^/\*", r"(?s)^.{2,}\*/$")
+def clean_rust(source: Column) -> Column:
+    """Rust text without comments, string contents and macro bodies; line breaks stay where they were."""
+    text = F.translate(source, MARK + MARK_END + GENERICS + TOKEN + TOKEN_END + "\r", "")
 
+    def blank(token: Column) -> Column:
+        comment = token.startswith("//") | token.startswith("/*")
+        quoted = F.when(token.startswith("'"), "'_'").when(comment, " ").otherwise('""')
+        return F.concat(quoted, _newlines(token))
 
-def clean_rust(source: Column) -> Column:
-    """Rust text without comments and string contents; line breaks stay where they were."""
-    text = F.translate(source, MARK + MARK_END + GENERICS + "\r", "")
-    text = F.regexp_replace(text, r"\\.", "__")
-    text = F.regexp_replace(text, "'\"'", "'_'")
-    text = _blank_pieces(text, r'(?=\br#{1,8}")|(?<="#)', r'^r#{1,8}"', r'"#$')
-    text = F.regexp_replace(text, r'"[^"\n]*"', '""')
-    text = _blank_block_comments(text)
-    return F.regexp_replace(text, r"//[^\n]*", "")
+    text = _tokens_replaced(text, RUST_TOKEN, blank)
+    macro = F.contains(text, F.lit("macro_rules!"))
+    return F.when(macro, _tokens_replaced(text, RUST_MACRO, lambda m: F.concat(F.lit(";"), _newlines(m)))).otherwise(text)
 
 
 def clean_typescript(source: Column) -> Column:
-    """TypeScript text without comments; template literals are emptied when they balance."""
-    text = F.translate(source, "\r", "")
-    text = _blank_block_comments(text)
-    text = F.regexp_replace(text, r"(?m)(^|\s)//[^\n]*", "$1")
+    """TypeScript text without comments and contents of template literals; other strings stay."""
+    text = F.translate(source, TOKEN + TOKEN_END + "\r", "")
 
-    def emptied(t: Column) -> Column:
-        ticks = F.length(t) - F.length(F.replace(t, F.lit("`"), F.lit("")))
-        return F.when((ticks > 0) & (ticks % 2 == 0), F.regexp_replace(t, "`[^`]*`", "``")).otherwise(t)
+    def blank(token: Column) -> Column:
+        comment = token.startswith("//") | token.startswith("/*")
+        template = token.startswith("`")
+        return F.when(comment, F.concat(F.lit(" "), _newlines(token))).when(
+            template, F.concat(F.lit("``"), _newlines(token))).otherwise(token)
 
-    return let(text, emptied)
+    return _tokens_replaced(text, TS_TOKEN, blank)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,7 +132,9 @@ def rust_item_facts(clean: Column) -> Column:
     Lines carry their numbers into the text before it is cut at item keywords, so line numbers
     survive the cut without any ordering across rows.
     """
-    marked = F.array_join(F.transform(F.split(clean, "\n"), _marked), "\n")
+    # a name on a later line moves up to its keyword; the line breaks follow it
+    joined = F.regexp_replace(clean, F.lit(RUST_SPLIT_ITEM), F.lit("$1 $3$2"))
+    marked = F.array_join(F.transform(F.split(joined, "\n"), _marked), "\n")
 
     def item(piece: Column, index: Column) -> Column:
         def named(parts: Column) -> Column:
@@ -117,7 +147,7 @@ def rust_item_facts(clean: Column) -> Column:
             )
             name = (
                 F.when(function, fn_name(head)).when(implementation, impl_name(head))
-                .otherwise(F.regexp_extract(head, r"^(?:struct|trait)\s+(\w+)", 1))
+                .otherwise(F.regexp_extract(head, r"^(?:struct|trait)\s+((?:r#)?\w+)", 1))
             )
             return fact(kind, index, name, F.get(parts, F.lit(0)))
 
@@ -129,8 +159,8 @@ def rust_item_facts(clean: Column) -> Column:
 
 def fn_name(segment: Column) -> Column:
     """Name of a function that has a body; empty for a bare signature."""
-    flat = F.regexp_replace(segment, r";[^;\[\](){}]*\]", "]")
-    return F.regexp_extract(flat, r"^fn\s+(\w+)[^;{]*\{", 1)
+    flat = F.regexp_replace(segment, F.lit(BRACKETS), F.lit("[]"))
+    return F.regexp_extract(flat, r"^fn\s+((?:r#)?\w+)[^;{]*\{", 1)
 
 
 def impl_name(segment: Column) -> Column:
@@ -140,8 +170,7 @@ def impl_name(segment: Column) -> Column:
     """
     header = F.regexp_extract(segment, r"^(?:unsafe\s+)?impl\b([^{]*)\{", 1)
     header = F.replace(header, F.lit("->"), F.lit("~"))
-    for _ in range(6):
-        header = F.regexp_replace(header, "<[^<>]*>", GENERICS)
+    header = F.regexp_replace(header, F.lit(ANGLES), F.lit(GENERICS))
     header = F.regexp_replace(header, "^\\s*" + GENERICS, "")
     header = F.regexp_replace(header, r"(?s)\bwhere\b.*$", "")
     bare = F.transform(

@@ -25,6 +25,13 @@ class CodeGraph:
     def __init__(self, entities: DataFrame, edges: DataFrame):
         self.entities = entities
         self.edges = edges
+        self._adjacency: dict[str, blast.Adjacency] = {}
+
+    def adjacency(self, direction: str = "both") -> blast.Adjacency:
+        """The structural adjacency, written once per graph and direction and used by all traversals."""
+        if direction not in self._adjacency:
+            self._adjacency[direction] = blast.Adjacency(self.edges, direction)
+        return self._adjacency[direction]
 
     @classmethod
     def index(cls, root: str, files: DataFrame, commits: DataFrame | None = None,
@@ -44,49 +51,58 @@ class CodeGraph:
     def all_entities(self) -> DataFrame:
         return self.entities
 
-    def _ids(self, path: str | Iterable[str]) -> DataFrame:
-        """Entities at the given paths; a literal list reaches the Parquet scan as a filter."""
-        wanted = [path] if isinstance(path, str) else list(path)
-        return resolve.path_index(self.entities.where(F.col("path").isin(wanted)))
+    def _at(self, path: str | Iterable[str] | DataFrame) -> DataFrame:
+        """Entities at the given paths: one path is a literal that reaches the Parquet scan, more are a table to join."""
+        if isinstance(path, str):
+            return self.entities.where(F.col("path") == path)
+        if not isinstance(path, DataFrame):
+            path = self.entities.sparkSession.createDataFrame([(p,) for p in path], "path string")
+        return self.entities.join(path.select("path"), "path", "left_semi")
+
+    def _ids(self, path: str | Iterable[str] | DataFrame) -> DataFrame:
+        return resolve.path_index(self._at(path))
 
-    def _near(self, path: str | Iterable[str], *ends: str) -> tuple[DataFrame, DataFrame]:
+    def _near(self, path: str | Iterable[str] | DataFrame, *ends: str) -> tuple[DataFrame, DataFrame]:
         """The asked entities and the edges at them.
 
-        The ids of the caller's paths become literals, so the filter reaches the Parquet scan
-        and reads the row groups that hold them, not the whole edge table.
+        For a single path the one id becomes a literal, so the filter reaches the Parquet scan and reads the
+        row groups that hold it. More paths stay a table, and no job runs before the caller's action.
         """
-        ids = [row.id for row in self._ids(path).select("id").collect()]
+        wanted = self._ids(path)
+        if not isinstance(path, str):
+            return wanted, self.edges
+        ids = [row.id for row in wanted.select("id").collect()]
         at = [F.col(end).isin(ids) for end in ends]
         return self.entities.where(F.col("id").isin(ids)), self.edges.where(reduce(or_, at))
 
-    def find(self, path: str | Iterable[str]) -> DataFrame:
+    def find(self, path: str | Iterable[str] | DataFrame) -> DataFrame:
         return self._ids(path)
 
     def blast_radius(self, path: str | Iterable[str] | DataFrame, depth: int | None = DEFAULT_DEPTH) -> DataFrame:
         """What a change may affect: reach in both directions, with depth and discovering kind."""
-        return blast.blast_radius(self._ids(path).select("path"), self.edges, self.entities, depth)
+        return blast.blast_radius(self._ids(path).select("path"), self.adjacency(), self.entities, depth)
 
     def reachable(self, path: str | Iterable[str] | DataFrame, depth: int | None = DEFAULT_DEPTH) -> DataFrame:
         """What a file depends on, directly or not: outgoing reach."""
         starts = self._ids(path).select(F.col("id").alias("source"), F.lit(depth).cast("int").alias("max_depth"))
-        found = blast.reach(starts, self.edges, "out")
+        found = blast.reach(starts, self.adjacency("out"))
         return found.join(self.entities.withColumnRenamed("id", "node"), "node").select(
             "source", "kind", "name", "path", "depth"
         )
 
-    def dependencies(self, path: str | Iterable[str], direction: str = "downstream") -> DataFrame:
+    def dependencies(self, path: str | Iterable[str] | DataFrame, direction: str = "downstream") -> DataFrame:
         wanted, edges = self._near(path, _end(direction))
         return neighbors.dependencies(wanted, edges, self.entities, direction)
 
-    def neighbors(self, path: str | Iterable[str], direction: str = "downstream") -> DataFrame:
+    def neighbors(self, path: str | Iterable[str] | DataFrame, direction: str = "downstream") -> DataFrame:
         wanted, edges = self._near(path, _end(direction))
         return neighbors.all_neighbors(wanted, edges, self.entities, direction)
 
-    def co_changes(self, path: str | Iterable[str], symmetric: bool = False) -> DataFrame:
+    def co_changes(self, path: str | Iterable[str] | DataFrame, symmetric: bool = False) -> DataFrame:
         wanted, edges = self._near(path, *(("from_id", "to_id") if symmetric else ("from_id",)))
         return neighbors.co_changes(wanted, edges, self.entities, symmetric)
 
-    def who_owns(self, path: str | Iterable[str]) -> DataFrame:
+    def who_owns(self, path: str | Iterable[str] | DataFrame) -> DataFrame:
         wanted, edges = self._near(path, "from_id")
         return neighbors.owners(wanted, edges, self.entities)
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphquarry.operators.resolve import path_index
+from graphquarry.session import stored
 
 BLOCK_FILES = 2048
+#: Big commits sent to all tasks at most.
+SENT_COMMITS = 100_000
 
 
 def cochange_pairs(changes: DataFrame, block_files: int = BLOCK_FILES) -> DataFrame:
@@ -20,16 +23,20 @@ def cochange_pairs(changes: DataFrame, block_files: int = BLOCK_FILES) -> DataFr
     key, so a commit holding a third of all rows spreads over the cluster.
     """
     listed = changes.groupBy("hash", "path").agg(F.count(F.lit(1)).alias("n"))
-    # Counting through ``n`` keeps this aggregate's shuffle equal to the one the joins read.
-    big = (
+    listed = stored(listed, "cochange-listed")
+    big = stored(
         listed.groupBy("hash").agg(F.count(F.when(F.col("n") > 0, True)).alias("k"))
         .where(F.col("k") > block_files)
-        .select("hash", F.ceil(F.col("k") / block_files).alias("blocks"))
-    )
-    placed = listed.join(big, "hash", "left")
-    pairs = _plain_pairs(placed.where("blocks IS NULL")).unionByName(
-        _block_pairs(placed.where("blocks IS NOT NULL"))
+        .select("hash", F.ceil(F.col("k") / block_files).alias("blocks")),
+        "cochange-big",
     )
+    n_big = big.count()
+    if n_big == 0:
+        pairs = _plain_pairs(listed)
+    else:
+        # sent where it is small, so that a big commit is dealt to blocks before anything moves by its hash
+        placed = listed.join(F.broadcast(big) if n_big <= SENT_COMMITS else big, "hash", "left")
+        pairs = _plain_pairs(placed.where("blocks IS NULL")).unionByName(_block_pairs(placed.where("blocks IS NOT NULL")))
     weight = F.when(F.col("a") == F.col("b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(
         F.col("n_a") * F.col("n_b")
     )
@@ -76,7 +83,7 @@ def ranked_cochanges(pairs: DataFrame) -> DataFrame:
 
 def cochange_edges(scored: DataFrame, entities: DataFrame) -> DataFrame:
     """``co_changes_with`` edges of pairs whose two paths are both in the graph."""
-    ids = path_index(entities).select("path", "id")
+    ids = stored(path_index(entities).select("path", "id"), "cochange-paths")
     a = ids.select(F.col("path").alias("file_a"), F.col("id").alias("from_id"))
     b = ids.select(F.col("path").alias("file_b"), F.col("id").alias("to_id"))
     return scored.join(a, "file_a").join(b, "file_b").select(

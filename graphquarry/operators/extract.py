@@ -86,6 +86,7 @@ def item_entities(items: DataFrame) -> DataFrame:
         "name",
         F.concat("path", F.lit("::"), F.col("name")).alias("path"),
         F.lit("rust").alias("language"),
+        "line",
     )
 
 

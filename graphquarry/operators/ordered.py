@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphquarry.session import checkpointed
+from graphquarry.session import stored
 
 FILL_CHUNK = 1 << 17
 
@@ -14,24 +14,27 @@ def fill_forward(
 ) -> DataFrame:
     """Replace nulls in ``columns`` by the last value before them in ``pos`` order.
 
-    A hot group is cut into position chunks. Rows fill within their chunk; one summary row per
-    chunk then fills across chunks and supplies what each chunk starts with, so the longest
-    sort any task sees is one chunk, or one row per chunk of a group.
+    A hot group is cut into position chunks. What a chunk starts with comes from one aggregate row per
+    chunk, the last value in each, filled across chunks; rows then fill within their chunk from there.
+    The longest sort any task sees is one chunk, or one row per chunk of a group.
     """
-    keyed = df.withColumn("chunk_", F.floor(F.col(pos) / chunk))
-    ordered = Window.partitionBy(group, "chunk_").orderBy(pos)
-    inside = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    keyed = stored(df.withColumn("chunk_", F.floor(F.col(pos) / chunk)), "fill-rows")
     before = Window.partitionBy(group).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
-    local = keyed.withColumns(
-        {c: F.last(c, ignorenulls=True).over(inside) for c in columns}
-        | {"more_": F.lead(F.lit(True)).over(ordered)}
+    ends = keyed.groupBy(group, "chunk_").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in columns]
     )
-    starts = local.where("more_ IS NULL").select(
-        group, "chunk_", *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_start_") for c in columns]
+    starts = stored(
+        ends.select(group, "chunk_", *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_start_") for c in columns])
+        .where(" OR ".join(f"{c}_start_ IS NOT NULL" for c in columns)),
+        "fill-starts",
     )
+    inside = Window.partitionBy(group, "chunk_").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    local = keyed.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
+    if starts.isEmpty():
+        return local.drop("chunk_")
     filled = local.join(starts, [group, "chunk_"], "left")
     return filled.withColumns({c: F.coalesce(c, f"{c}_start_") for c in columns}).drop(
-        "chunk_", "more_", *[f"{c}_start_" for c in columns]
+        "chunk_", *[f"{c}_start_" for c in columns]
     )
 
 
@@ -42,7 +45,7 @@ def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     other range bounds. Offsets come from one count per partition: a table as long as the number
     of shuffle partitions.
     """
-    ordered = checkpointed(df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id()))
+    ordered = stored(df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id()), "dense-index")
     part = F.shiftright("at_", 33).alias("part_")
     sizes = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("n_"))
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +65,7 @@ def rank_within(df: DataFrame, group: str, order: list[Column], name: str) -> Da
     One sort over group and order ranks all groups together, so a group holding a third of all
     rows is sorted by many tasks; each group then counts from its own first position.
     """
-    placed = checkpointed(dense_index(df, [F.asc(group), *order], "place_"))
-    starts = placed.groupBy(group).agg(F.min("place_").alias("start_"))
+    placed = stored(dense_index(df, [F.asc(group), *order], "place_"), "rank-places")
+    starts = stored(placed.groupBy(group).agg(F.min("place_").alias("start_")), "rank-starts")
     rank = (F.col("place_") - F.col("start_") + 1).alias(name)
     return placed.join(starts, group).select(*df.columns, rank)

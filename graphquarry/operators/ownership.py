@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphquarry.operators.ordered import FILL_CHUNK, fill_forward, rank_within
 from graphquarry.operators.resolve import path_index
+from graphquarry.session import stored
 
 SHA = r"^([0-9a-f]{40,64}) \d+ \d+"
 
@@ -122,7 +123,9 @@ def ownership_edges(shares: DataFrame, entities: DataFrame, merge: str = "sum")
     combine = F.sum if merge == "sum" else F.min
     per_owner = shares.groupBy("path", "email").agg((combine("percentage") / 100.0).alias("confidence"))
     files = entities.where("kind = 'File' AND path IS NOT NULL").select("path", F.col("id").alias("from_id"))
-    people = path_index(entities).select(F.col("path").alias("email"), F.col("id").alias("to_id"))
+    people = stored(path_index(entities).select(F.col("path").alias("email"), F.col("id").alias("to_id")), "owner-ids")
+    # stored, so that an e-mail that owns most files can be split in the join
+    per_owner = stored(per_owner, "owner-shares")
     return per_owner.join(files, "path").join(people, "email").select(
         "from_id", "to_id", F.lit("owned_by").alias("kind"), "confidence"
     )

@@ -2,8 +2,8 @@
 
 Each declaration expands to a fixed, small number of candidate paths. One equi-join against the
 file list (unique on ``path``) finds the ones that exist, and the lowest candidate position per
-declaration wins. The file list carries one column and one row per path, so a hot target splits
-under adaptive skew handling by copying a single small row.
+declaration wins. The file list is stored with one row per path before it is joined: an aggregate directly
+under the join would keep adaptive execution from splitting a target that many files import.
 """
 
 from __future__ import annotations
@@ -11,19 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphquarry.functions import paths
+from graphquarry.session import stored
 
 # File stems whose sub-modules are siblings, and the suffixes tried in order.
 MODULE_ROOT_STEMS = ("main", "lib", "mod")
 TS_SUFFIXES = (".ts", "/index.ts", ".tsx", "/index.tsx")
 
 
+def _targets(files: DataFrame) -> DataFrame:
+    return stored(files.select(F.col("path").alias("target")).distinct(), "resolve-targets")
+
+
 def _first_existing(declared: DataFrame, candidates: Column, files: DataFrame, *key: str) -> DataFrame:
     """Lowest candidate that exists per ``key``; ``candidates`` must derive from the key alone.
 
     Only the position is aggregated, a fixed-width value that hashes; the path follows from it.
     """
     expanded = declared.select(*key, F.posexplode(candidates).alias("pos_", "target"))
-    known = files.select(F.col("path").alias("target")).distinct()
+    known = _targets(files)
     best = (
         expanded.where(~F.contains("target", F.lit("..")))
         .join(known, "target")
@@ -39,7 +44,7 @@ def _as_edges(resolved: DataFrame, kind: str) -> DataFrame:
         F.col("target").alias("to_path"),
         F.lit(kind).alias("kind"),
         F.lit(1.0).alias("confidence"),
-    ).distinct()
+    )
 
 
 def mod_targets(mods: DataFrame, files: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def mod_targets(mods: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mod_edges(mods: DataFrame, files: DataFrame) -> DataFrame:
-    return _as_edges(mod_targets(mods, files), "imports")
+    return _as_edges(mod_targets(mods, files), "imports").distinct()
 
 
 def crate_use_edges(uses: DataFrame, files: DataFrame) -> DataFrame:
@@ -71,8 +76,8 @@ def crate_use_edges(uses: DataFrame, files: DataFrame) -> DataFrame:
         .where("target <> 'src/.rs'")
         .distinct()
     )
-    known = files.select(F.col("path").alias("target")).distinct()
-    return _as_edges(wanted.join(known, "target"), "depends_on")
+    # distinct before the join only: an aggregate behind it would use its partitioning and forbid a split
+    return _as_edges(wanted.join(_targets(files), "target"), "depends_on")
 
 
 def ts_targets(specifiers: DataFrame, files: DataFrame, mode: str = "normalized") -> DataFrame:
@@ -101,12 +106,13 @@ def ts_targets(specifiers: DataFrame, files: DataFrame, mode: str = "normalized"
 
 
 def ts_edges(specifiers: DataFrame, files: DataFrame, mode: str = "normalized") -> DataFrame:
-    return _as_edges(ts_targets(specifiers, files, mode), "imports")
+    return _as_edges(ts_targets(specifiers, files, mode), "imports").distinct()
 
 
 def find_by_path(wanted: DataFrame, entities: DataFrame) -> DataFrame:
     """Entity of each requested path; the smallest id stands when a path repeats."""
-    return wanted.select("path").distinct().join(path_index(entities), "path")
+    asked = wanted.select("path")
+    return asked.distinct().join(path_index(entities.join(asked, "path", "left_semi")), "path")
 
 
 def path_index(entities: DataFrame) -> DataFrame:

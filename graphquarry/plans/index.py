@@ -25,7 +25,7 @@ def structure(files: DataFrame, ts_mode: str = "normalized") -> tuple[DataFrame,
     found = checkpointed(extract.facts(scannable(files)))
     registered = extract.files_of(found)
     entities = registered.select(F.lit("File").alias("kind"), "name", "path", "language").unionByName(
-        extract.item_entities(extract.items_of(found))
+        extract.item_entities(extract.items_of(found)), allowMissingColumns=True
     )
     by_path = (
         resolve.mod_edges(extract.mods_of(found), registered)

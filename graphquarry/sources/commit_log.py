@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphquarry.functions.text import let
+from graphquarry.session import stored
 
 # The marker line and the number of header lines after it.
 MARKER = "COMMIT_START"
@@ -12,13 +13,36 @@ HEADER_LINES = 5
 
 
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row per commit record (S3); the marker is the record separator, so files split."""
-    return spark.read.option("lineSep", f"\n{MARKER}\n").text(path).select(F.col("value").alias("record"))
+    """One row per commit record (S3); the marker line is the record separator, so files split.
+
+    A first scan finds the line ends each file uses; files of both kinds may share a folder.
+    """
+    file = F.col("_metadata.file_path")
+    marks = spark.read.option("lineSep", "\n").text(path).where(F.col("value").isin(MARKER, f"{MARKER}\r"))
+    kinds = stored(marks.groupBy(file.alias("file")).agg(F.bool_or(F.endswith("value", F.lit("\r"))).alias("crlf")), "log-line-ends")
+    found = kinds.agg(F.bool_or("crlf").alias("some"), F.bool_and("crlf").alias("all")).first()
+
+    def records(end: str) -> DataFrame:
+        return spark.read.option("lineSep", f"\n{MARKER}{end}").text(path)
+
+    if not found["some"]:
+        return records("\n").select(F.col("value").alias("record"))
+    if found["all"]:
+        return records("\r\n").select(F.col("value").alias("record"))
+    parts = [
+        records(end).select(F.col("value").alias("record"), file.alias("file"))
+        .join(kinds.where(F.col("crlf") == crlf), "file", "left_semi").select("record")
+        for end, crlf in (("\n", False), ("\r\n", True))
+    ]
+    # stored, because the check for cut records must not be pushed below the choice of files
+    return stored(parts[0].unionByName(parts[1]), "log-records")
 
 
 def parse_commits(records: DataFrame) -> DataFrame:
     """``(hash, author, email, timestamp, message, files_changed)`` per record (H2–H4)."""
-    body = F.regexp_replace("record", f"^({MARKER}\r?\n)+", "")
+    body = F.regexp_replace(F.regexp_replace("record", f"^{MARKER}\r?\n", ""), "\r?\n?$", "")
+    cut = body.rlike(f"(?m)^{MARKER}\r?$")
+    body = F.when(cut, F.raise_error(F.concat(F.lit("marker line inside a commit record: "), F.left(body, F.lit(80))))).otherwise(body)
     lines = F.split(body, "\r?\n")
     header = [F.get(F.col("lines"), F.lit(i)) for i in range(HEADER_LINES)]
     rest = F.filter(

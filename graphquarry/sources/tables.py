@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphquarry.schemas import (
     DECAY_HALF_LIFE, EDGE, EDGE_KINDS, ENTITY, ENTITY_KINDS, EVIDENCE_COUNT,
 )
+from graphquarry.session import scratch_path
 
 
-def entity_id(kind: Column, path: Column, name: Column) -> Column:
-    """Deterministic id, so a rebuild or a re-run task yields the same graph."""
-    return F.sha2(F.concat_ws("|", kind, path, name), 256)
+def _part(value: Column) -> Column:
+    """A value that no other values joined by ``|`` can imitate; null is told from every text."""
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.coalesce(F.concat(F.lit("="), escaped), F.lit("-"))
 
 
-def new_entities(rows: DataFrame) -> DataFrame:
-    """Complete ``(kind, name, path, language)`` rows to entities (S7); equal rows become one."""
-    return rows.select("kind", "name", "path", "language").distinct().select(
-        entity_id(F.col("kind"), F.col("path"), F.col("name")).alias("id"),
+def entity_id(kind: Column, path: Column, name: Column, ordinal: Column | None = None) -> Column:
+    """Deterministic id, so a rebuild or a re-run task yields the same graph.
+
+    ``ordinal`` tells apart items of one kind, path and name.
+    """
+    number = F.lit("0") if ordinal is None else ordinal.cast("string")
+    return F.sha2(F.concat_ws("|", _part(kind), _part(path), _part(name), number), 256)
+
+
+def new_entities(rows: DataFrame, *keep: str) -> DataFrame:
+    """Complete ``(kind, name, path, language)`` rows to entities, one for each row.
+
+    Rows of one kind, path and name are numbered in the order of their ``line``, where there is one. ``keep`` names further columns to carry.
+    """
+    place = F.col("line") if "line" in rows.columns else F.lit(0)
+    same = Window.partitionBy("kind", "path", "name").orderBy(place)
+    numbered = rows.withColumn("ordinal_", F.row_number().over(same) - 1)
+    return numbered.select(
+        entity_id(F.col("kind"), F.col("path"), F.col("name"), F.col("ordinal_")).alias("id"),
         "kind", "name", "path", "language",
         F.lit("{}").alias("metadata"),
         F.current_timestamp().alias("last_indexed"),
+        *keep,
     )
 
 
@@ -88,7 +106,7 @@ def require_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def write_graph(entities: DataFrame, edges: DataFrame, root: str) -> None:
-    """Replace both tables.
+    """Replace both tables (S10); the new ones are complete before the old ones go.
 
     Edges are laid out by kind, so queries prune the others, and sorted by their start, so a
     lookup skips row groups. Rebalancing gives a kind with most of the edges many files and the
@@ -96,9 +114,15 @@ def write_graph(entities: DataFrame, edges: DataFrame, root: str) -> None:
     """
     base = root.rstrip("/")
     nodes = entities.select(*ENTITY.names).sortWithinPartitions("path")
-    nodes.write.mode("overwrite").parquet(f"{base}/entities")
+    fresh = scratch_path(entities.sparkSession, "graph")
+    nodes.write.parquet(f"{fresh}/entities")
     laid = edges.select(*EDGE.names).hint("rebalance", "kind").sortWithinPartitions("kind", "from_id")
-    laid.write.mode("overwrite").partitionBy("kind").parquet(f"{base}/edges")
+    laid.write.partitionBy("kind").parquet(f"{fresh}/edges")
+    # both tables were computed before the first write, so inputs may lie under ``root``
+    spark = entities.sparkSession
+    spark.read.schema(ENTITY).parquet(f"{fresh}/entities").write.mode("overwrite").parquet(f"{base}/entities")
+    spark.read.schema(EDGE).parquet(f"{fresh}/edges").sortWithinPartitions("kind", "from_id").write.mode(
+        "overwrite").partitionBy("kind").parquet(f"{base}/edges")
 
 
 def read_entities(spark: SparkSession, root: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Facts from Rust and TypeScript text."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphquarry.operators import extract
+from graphquarry.plans import index
+from graphquarry.sources import tables
 
 AUTH = """pub fn login(user: &str, pass: &str) -> bool {
     validate(user, pass)
@@ -129,3 +132,55 @@ def test_tsx_and_no_rust_facts_from_typescript(spark):
     found = files(spark, src__App_dot_tsx=source)
     assert [r.specifier for r in extract.ts_specifiers(found).collect()] == ["./react.js"]
     assert extract.rust_items(found).isEmpty() and extract.rust_mods(found).isEmpty()
+
+
+def names(spark, source):
+    return [(r.kind, r.name, r.line) for r in extract.rust_items(rust(spark, source)).orderBy("line", "name").collect()]
+
+
+@pytest.mark.parametrize(("source", "expected"), [
+    ('// see "/* odd\nfn a() {}\n// end */\n', [("Function", "a", 2)]),
+    ("/* one /* two */ fn ghost() {} */\nfn a() {}\n", [("Function", "a", 2)]),
+    ('const S: &str = "x\nfn ghost() {}\n";\nfn a() {}\n', [("Function", "a", 4)]),
+    ("fn a(x: [u8; N]) where [u8; { N + 1 }]: Sized {}\n", [("Function", "a", 1)]),
+    ("fn r#type() {}\nstruct r#ref {}\n", [("Function", "r#type", 1), ("Struct", "r#ref", 2)]),
+    ("pub fn\n    far(x: u8)\n{}\nfn b() {}\n", [("Function", "far", 1), ("Function", "b", 4)]),
+    ("macro_rules! m { ($x:ident) => { fn ghost() { } } }\nfn a() {}\n", [("Function", "a", 2)]),
+    ("impl<T: A<B<C<D<E<F<G<H<u8>>>>>>>>> Tr for X {}\n", [("Impl", "Tr", 1)]),
+    ('fn a() { let s = r##########"x" fn ghost() {} "##########; }\n', [("Function", "a", 1)]),
+    ("fn a() { let c = '\"'; let d = '\\''; let e: &'static str = \"}\"; }\nfn b() {}\n", [("Function", "a", 1), ("Function", "b", 2)]),
+    ("fn a() {} // fn b() {}", [("Function", "a", 1)]),
+])
+def test_whichever_token_begins_first_wins(spark, source, expected):
+    assert names(spark, source) == expected
+
+
+def test_long_tokens_do_not_overflow(spark):
+    source = 'fn a() { let s = "' + "x\\\\y" * 200_000 + '"; }\n/* ' + "* / /* */" * 50_000 + " */\nfn b() {}\n"
+    assert names(spark, source) == [("Function", "a", 1), ("Function", "b", 3)]
+
+
+def test_attributes_and_raw_names_before_imports(spark):
+    found = extract.rust_uses(rust(spark, "#[allow(unused)] use crate::x::Y;\n#[a] pub use b::c;\n"))
+    assert [r.specifier for r in found.orderBy("pos").collect()] == ["crate::x::Y", "pub use b::c"]
+    assert [r.name for r in extract.rust_mods(rust(spark, "mod r#match;\n#[x] mod y;\n")).orderBy("pos").collect()] == ["r#match", "y"]
+
+
+def test_comment_marks_inside_strings(spark):
+    source = (
+        'const a = "src/*.ts";\nimport { b } from "./b";\nconst c = "**/foo";\nimport d from \'./d\'; // `\n'
+        'const t = `import x from "./x"`;\nimport e from "./e";\n/* ` */\nimport "./f";\n'
+    )
+    assert [r.specifier for r in extract.ts_specifiers(ts(spark, source)).orderBy("pos").collect()] == ["./b", "./d", "./e", "./f"]
+
+
+def test_repeated_items_stay_apart(spark):
+    source = "impl A {\n fn new() {}\n}\nimpl B {\n fn new() {}\n}\nimpl A {\n fn b() {}\n}\nstruct A {}\n"
+    entities = tables.new_entities(index.structure(rust(spark, source))[0])
+    assert entities.count() == 8 == entities.select("id").distinct().count()
+
+
+def test_ids_do_not_mix_up_paths_and_names(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "a|b|c"), ("a\\", "|b|c"), ("a", "\\|b|c")], "path string, name string")
+    ids = rows.select(tables.entity_id(F.lit("File"), F.col("path"), F.col("name")).alias("id"))
+    assert ids.distinct().count() == 5

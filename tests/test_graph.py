@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphquarry import CodeGraph
-from graphquarry.operators import blast, neighbors, ownership
+from graphquarry.operators import blast, neighbors, ownership, resolve
 from graphquarry.plans import requests
 from graphquarry.plans.report import Report
 from graphquarry.sources import commit_log, source_tree, tables
@@ -228,6 +228,7 @@ REQUESTS = [
     ("17", None, None, None, None, None),
     ("18", "hotspots", None, None, None, 0),
 ]
+REQUEST_SCHEMA = "request_id string, tool string, entity string, depth long, direction string, limit long"
 ANSWERS = {
     "1": [("ok", "src/b.rs", "imports", 1.0, None), ("ok", "src/c.rs", "imports", 2.0, None)],
     "2": [("ok", "src/b.rs", "imports", 1.0, None)],
@@ -259,7 +260,76 @@ def grouped(df):
 
 def test_requests(spark):
     asked = spark.createDataFrame(REQUESTS, "request_id string, tool string, entity string, depth long, direction string, limit long")
-    assert grouped(small_graph(spark).answer(asked)) == ANSWERS
+    bounds = requests.Bounds(entity_bytes=1024)
+    assert grouped(small_graph(spark).answer(asked, bounds)) == ANSWERS
+    unbounded = grouped(small_graph(spark).answer(asked.where("request_id = '15'")))
+    assert unbounded["15"][0][0] == "empty"
+
+
+def test_bounds_answer_with_an_error_row(spark):
+    asked = spark.createDataFrame(
+        [("a", "blast_radius", "src/a.rs", 11, None, None), ("b", "hotspots", None, None, None, 501), ("c", "blast_radius", "src/a.rs", 10, None, None)],
+        "request_id string, tool string, entity string, depth long, direction string, limit long",
+    )
+    got = grouped(small_graph(spark).answer(asked, requests.Bounds(depth=10, limit=500)))
+    assert got["a"] == [("error", None, None, None, "depth too large (max 10)")]
+    assert got["b"] == [("error", None, None, None, "limit too large (max 500)")]
+    assert got["c"][0][0] == "ok"
+
+
+def test_reach_and_hotspots_have_no_cap(spark):
+    n = 26
+    entities = spark.createDataFrame([(f"n{i}", "File", f"n{i}", f"n{i}.rs") for i in range(n)], "id string, kind string, name string, path string").withColumn("language", F.lit("rust"))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "imports", 1.0) for i in range(n - 1)], "from_id string, to_id string, kind string, confidence double")
+    graph = CodeGraph(entities, edges)
+    assert graph.blast_radius("n0.rs", 20).count() == 20
+    assert graph.blast_radius("n0.rs", None).agg(F.max("depth")).first()[0] == n - 1
+    assert graph.reachable("n3.rs", None).count() == n - 4
+    many = spark.createDataFrame([("h", "hotspots", None, None, None, 5000), ("i", "hotspots", None, None, None, 7)], REQUEST_SCHEMA)
+    wide = spark.range(4500).selectExpr("concat('m', id) AS id", "'File' AS kind", "concat('m', id) AS name", "concat('m', id) AS path", "'rust' AS language")
+    got = requests.answer(many, wide, edges).groupBy("request_id").agg(F.count(F.lit(1)), F.countDistinct("rank"), F.max("rank")).collect()
+    assert sorted(tuple(r) for r in got) == [("h", 4500, 4500, 4500), ("i", 7, 7, 7)]
+
+
+def test_lookups_take_tables_of_paths(spark):
+    graph = small_graph(spark)
+    paths = spark.createDataFrame([("src/a.rs",), ("src/c.rs",), (None,)], "path string")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    found = graph.dependencies(paths)
+    owners = graph.who_owns(paths)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert found.count() == graph.dependencies(["src/a.rs", "src/c.rs"]).count() > 0
+    assert owners.count() == 1
+
+
+def test_hub_join_is_split(spark):
+    """A third of the edges at one node: the final adaptive plan splits them."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(300_000).selectExpr(
+            "CASE WHEN id % 3 = 0 THEN 'hub' ELSE concat('n', id) END AS from_id", "concat('n', id + 1) AS to_id", "'imports' AS kind", "1.0D AS confidence")
+        files = spark.range(300_002).selectExpr("concat('n', id) AS path")
+        wanted = spark.range(300_000).selectExpr("concat('n', id) AS id").union(spark.createDataFrame([("hub",)], "id string"))
+        entities = wanted.selectExpr("id", "'File' AS kind", "id AS name", "id AS path")
+        uses = spark.range(300_000).selectExpr("concat('p', id) AS path", "CASE WHEN id % 3 = 0 THEN 'crate::hub' ELSE concat('crate::n', id) END AS specifier")
+        known = files.selectExpr("concat('src/', path, '.rs') AS path").union(spark.createDataFrame([("src/hub.rs",)], "path string"))
+        for df in (neighbors.all_neighbors(wanted, edges, entities), resolve.crate_use_edges(uses, known)):
+            df.write.format("noop").mode("overwrite").save()
+            df.count()
+            plan = df._jdf.queryExecution()
+            rows = df.collect()
+            text = plan.executedPlan().toString()
+            assert "skew=true" in text, text[:3000]
+            assert len(rows) > 200_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_request_lines(spark, tmp_path):
@@ -271,8 +341,9 @@ def test_request_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "r.txt").write_text("\n".join(lines + ["", "   ", "{broken", '{"id": "big", "x": "' + "y" * (1 << 20) + '"}']))
     graph = small_graph(spark)
-    stream = requests.decode_requests(spark.readStream.text(str(tmp_path / "in")))
-    answer_stream(stream, graph.entities, graph.edges, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    bounds = requests.Bounds(entity_bytes=1024, request_bytes=1 << 20)
+    stream = requests.decode_requests(spark.readStream.text(str(tmp_path / "in")), bounds)
+    answer_stream(stream, graph.entities, graph.edges, str(tmp_path / "out"), str(tmp_path / "cp"), bounds=bounds).awaitTermination()
     got = grouped(spark.read.parquet(str(tmp_path / "out")))
     bad = got.pop(None)
     assert sorted(b[-1] for b in bad) == [requests.BAD_JSON, requests.TOO_LARGE]

@@ -59,6 +59,27 @@ def test_commit_log_file(spark, rows, tmp_path):
     assert [r.author for r in commit_log.newest_commits(commits, 2).collect()] == ["Alice", "Bob"]
 
 
+def test_line_ends_and_several_files(spark, rows, tmp_path):
+    (tmp_path / "a.log").write_bytes(LOG.replace("\n", "\r\n").encode())
+    (tmp_path / "b.log").write_text("COMMIT_START\nhash9\nDee\nd@example.com\n5\nno changes")
+    (tmp_path / "c.log").write_text("COMMIT_START\nhash8\nEve\ne@example.com\n6\nlast\nM\tx.rs\n")
+    both = commit_log.parse_commits(commit_log.read_commit_log(spark, str(tmp_path)))
+    assert rows(both, "author", "message") == [
+        ("Alice", "Initial commit"), ("Bob", "Second commit"), ("Cy", "COMMIT_START marks a commit"), ("Dee", "no changes"), ("Eve", "last")]
+    only = commit_log.parse_commits(commit_log.read_commit_log(spark, str(tmp_path / "a.log")))
+    assert rows(only, "author") == [("Alice",), ("Bob",), ("Cy",)]
+    assert ("only_old.rs", "Modified") in rows(commit_log.changes(only), "path", "kind")
+    mixed = spark.createDataFrame([("h\na\ne\n1\nm\nCOMMIT_START\nh2",)], "record string")
+    with pytest.raises(Exception, match="marker line inside"):
+        commit_log.parse_commits(mixed).collect()
+
+
+def test_no_limit_keeps_all_commits(spark):
+    commits = spark.range(12_000).selectExpr("cast(id AS string) AS hash", "id AS timestamp", "array(id) AS files_changed")
+    assert commit_log.newest_commits(commits).count() == 12_000
+    assert commit_log.newest_commits(commits, 11_000).count() == 11_000
+
+
 def test_merges_are_left_out(spark):
     commits = spark.createDataFrame([("a", 2, ["x", "y"]), ("b", 1, ["x"]), ("c", 0, [])],
                                     "hash string, timestamp long, parents array<string>")

@@ -221,11 +221,25 @@ def edge_upsert_last_wins(t: Testbed) -> DataFrame:
 
 
 @query("""
-    SELECT sha256(concat_ws('|', kind, path, name)) AS id, kind, name, path, language, '{}' AS metadata FROM tb_entities""")
+    SELECT sha256(concat('=', kind, '|', CASE WHEN path IS NULL THEN '-' ELSE concat('=', path) END, '|=', name, '|0')) AS id, kind, name, path, language,
+           '{}' AS metadata FROM tb_entities""")
 def new_entities(t: Testbed) -> DataFrame:
     return tables.new_entities(t.entities).drop("last_indexed")
 
 
+@query("""
+    SELECT sha256(concat('=Function|=', path, '::', name, '|=', name, '|',
+                         row_number() OVER (PARTITION BY path, name ORDER BY line) - 1)) AS id, path, name, line
+    FROM (SELECT path, l_returnflag AS name, l_orderkey * 8 + l_linenumber AS line FROM lineitem JOIN tb_files ON l_partkey = k)""")
+def repeated_item_entities(t: Testbed) -> DataFrame:
+    """One entity for each item, also where a file repeats a name."""
+    items = t.sql("SELECT path, 'Function' AS kind, l_returnflag AS name, l_orderkey * 8 + l_linenumber AS line "
+                  "FROM lineitem JOIN tb_files ON l_partkey = k")
+    rows = extract.item_entities(items)
+    file = F.regexp_extract("path", "^(.*)::", 1)
+    return tables.new_entities(rows, "line").select("id", file.alias("path"), "name", "line")
+
+
 @query("""
     SELECT from_id, to_id, kind, confidence, CAST(1 AS INTEGER) AS evidence_count,
            CAST(180.0 AS DOUBLE) AS decay_half_life, 0 AS evidence
@@ -382,11 +396,11 @@ def _index_input(t: Testbed) -> DataFrame:
     SELECT 'File', split_part(path, '/', -1), path, CASE WHEN path LIKE '%.rs' THEN 'rust' ELSE 'typescript' END
     FROM tb_code_files""")
 def index_entities(t: Testbed) -> DataFrame:
-    return index.structure(_index_input(t))[0]
+    return index.structure(_index_input(t))[0].drop("line")
 
 
 def _file_sha(path: str) -> str:
-    return f"sha256(concat('File|', {path}, '|', split_part({path}, '/', -1)))"
+    return f"sha256(concat('=File|=', {path}, '|=', split_part({path}, '/', -1), '|0'))"
 
 
 @query(f"""
