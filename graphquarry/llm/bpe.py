@@ -179,6 +179,11 @@ def encoder(path: str):
     return encode
 
 
+@arrow_udf(from_arrow_type(pa.string()))
+def _as_text(data: pa.Array) -> pa.Array:
+    return pa.array([None if d is None else d.decode("utf-8", "replace") for d in data.to_pylist()], pa.string())
+
+
 def decoder(path: str):
     @arrow_udf(from_arrow_type(pa.binary()))
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -215,8 +220,7 @@ def decode(tokens: DataFrame, ids: str = "ids", data: str = "data", vocabulary:
     """Add the bytes, or the text, that token numbers stand for."""
     path = vocabulary or default_vocabulary()
     found = decoder(path)(F.col(ids))
-    # Bytes that are no whole character turn into replacement characters
-    return tokens.withColumn(data, F.decode(found, "UTF-8") if as_text else found)
+    return tokens.withColumn(data, _as_text(found) if as_text else found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

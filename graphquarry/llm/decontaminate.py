@@ -225,21 +225,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """Documents without benchmark passages: hit documents dropped, or hit spans cut out of their text."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    found = contamination(docs, benchmark, text=text, **options)
+    # the input row rides along whole, so that none of its columns can clash with the operator's
+    slim = docs.select(F.struct(*docs.columns).alias("row_"), F.col(text).alias("text_"))
+    found = contamination(slim, benchmark, text="text_", **options)
     if remove == "documents":
-        return found.where("NOT contaminated").select(*docs.columns)
+        return found.where("NOT contaminated").select("row_.*")
 
     def cut(state, span):
         return F.struct(
-            F.concat(state["done"], F.substring(F.col(text), state["at"] + 1, span["start"] - state["at"])).alias("done"),
+            F.concat(state["done"], F.substring(F.col("text_"), state["at"] + 1, span["start"] - state["at"])).alias("done"),
             span["stop"].alias("at"),
         )
 
     left = F.aggregate(
         "spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), cut,
-        lambda s: F.concat(s["done"], F.substring(F.col(text), s["at"] + 1, F.length(text))),
+        lambda s: F.concat(s["done"], F.substring(F.col("text_"), s["at"] + 1, F.length("text_"))),
     )
-    return found.withColumn(text, F.when(F.col("contaminated"), left).otherwise(F.col(text))).select(*docs.columns)
+    whole = F.when(F.col("contaminated"), left).otherwise(F.col("text_")).alias(text)
+    return found.select(*[whole if c == text else F.col("row_")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

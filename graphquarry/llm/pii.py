@@ -340,8 +340,11 @@ def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def mask(docs: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets."""
-    found = find(docs, text, accept)
-    return found.withColumn(text, _masked(F.col(text), F.col("spans"))).select(*docs.columns)
+    # the input row rides along whole, so that none of its columns can clash with the operator's
+    slim = docs.select(F.struct(*docs.columns).alias("row_"), F.col(text).alias("text_"))
+    found = find(slim, "text_", accept)
+    whole = _masked(F.col("text_"), F.col("spans")).alias(text)
+    return found.select(*[whole if c == text else F.col("row_")[c].alias(c) for c in docs.columns])
 
 
 def _joined(spans: str):
