@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphquarry.functions import paths
+from graphquarry import CodeGraph
 from graphquarry.operators import blast, cochange, extract, neighbors, ownership, resolve
 from graphquarry.plans import index, report, requests
 from graphquarry.plans.report import Report, blast_size, link_degree, symmetric_adjacency
@@ -203,6 +204,23 @@ def dangling_edges(t: Testbed) -> DataFrame:
     return tables.dangling_edges(t.raw_edges, t.entities)
 
 
+@query("""
+    SELECT concat(CASE WHEN l_returnflag = 'A' THEN 'x:' ELSE 'f:' END, l_partkey) AS from_id,
+           concat(CASE WHEN l_returnflag = 'N' THEN 'f:' ELSE 'x:' END, l_partkey) AS to_id, 'imports' AS kind,
+           CASE l_returnflag WHEN 'A' THEN 'both' ELSE 'to' END AS missing, count(*) AS n
+    FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL
+    UNION ALL
+    SELECT concat('x:', l_partkey), concat('f:', l_partkey), 'calls', 'from', count(*) FROM lineitem GROUP BY ALL""")
+def dangling_edges_each_end(t: Testbed) -> DataFrame:
+    """Edges that miss their start, their end, or both."""
+    edges = t.sql("""
+        SELECT concat(CASE WHEN l_returnflag = 'A' THEN 'x:' ELSE 'f:' END, l_partkey) AS from_id,
+               concat(CASE WHEN l_returnflag = 'N' THEN 'f:' ELSE 'x:' END, l_partkey) AS to_id, 'imports' AS kind FROM lineitem
+        UNION ALL SELECT concat('x:', l_partkey), concat('f:', l_partkey), 'calls' FROM lineitem""")
+    found = tables.dangling_edges(edges, t.entities)
+    return found.groupBy("from_id", "to_id", "kind", "missing").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
     SELECT from_id, to_id, kind, confidence FROM (
         SELECT concat('f:', l_partkey) AS from_id, concat('d:', l_suppkey) AS to_id,
@@ -457,6 +475,12 @@ def cochange_pairs(t: Testbed) -> DataFrame:
     return cochange.cochange_pairs(t.changes)
 
 
+@query("SELECT * FROM sql_pairs")
+def cochange_pairs_blocks(t: Testbed) -> DataFrame:
+    """The same pairs with commits of more than four paths cut into blocks."""
+    return cochange.cochange_pairs(t.changes, block_files=4)
+
+
 def _scored(t: Testbed) -> DataFrame:
     return cochange.cochange_confidence(checkpointed(cochange.cochange_pairs(t.changes)))
 
@@ -577,6 +601,20 @@ def all_neighbors(t: Testbed) -> DataFrame:
     return neighbors.all_neighbors(t.entities, t.edges, t.entities, "upstream")
 
 
+@query(_hop_sql("from_id", "to_id", "true"))
+def all_neighbors_downstream(t: Testbed) -> DataFrame:
+    return neighbors.all_neighbors(t.entities, t.edges, t.entities)
+
+
+@query("""
+    SELECT from_id AS source_id, coalesce(e.path, e.name) AS shown, printf('%.2f', coalesce(confidence, 1.0)) AS confidence
+    FROM tb_edges x JOIN tb_entities e ON to_id = e.id WHERE x.kind = 'documented_in'""")
+def display_columns(t: Testbed) -> DataFrame:
+    """What a listing shows of each neighbour."""
+    found = neighbors.edges_of_kind(t.entities, t.edges, t.entities, "documented_in")
+    return found.select("source_id", neighbors.display_key().alias("shown"), neighbors.confidence_text(F.col("confidence")).alias("confidence"))
+
+
 @query("""
     SELECT from_id AS source_id, e.id, x.kind AS edge_kind, coalesce(confidence, 1.0) AS confidence, e.kind, e.name, e.path
     FROM tb_edges x JOIN tb_entities e ON to_id = e.id WHERE x.kind = 'documented_in'""")
@@ -610,6 +648,46 @@ def blast_out(t: Testbed) -> DataFrame:
     return blast.reach(starts, checkpointed(t.edges), "out").select("source", "node", "depth")
 
 
+def _chained(t: Testbed) -> DataFrame:
+    """Parts in chains of sixteen."""
+    return t.table("part").where("p_partkey % 16 <> 15").selectExpr(
+        "concat('f:', p_partkey) AS from_id", "concat('f:', p_partkey + 1) AS to_id", "'imports' AS kind", "1.0D AS confidence")
+
+
+@query("""
+    SELECT concat('f:', a.p_partkey) AS source, concat('f:', a.p_partkey + d) AS node, CAST(d AS INTEGER) AS depth
+    FROM (SELECT p_partkey, unnest(range(1, 16)) AS d FROM part) a WHERE a.p_partkey % 16 + d <= 15
+    AND a.p_partkey + d <= (SELECT max(p_partkey) FROM part) + 1""")
+def blast_deep(t: Testbed) -> DataFrame:
+    """Unbounded outgoing reach along chains longer than ten hops."""
+    starts = t.table("part").selectExpr("concat('f:', p_partkey) AS source", "CAST(NULL AS INT) AS max_depth")
+    return blast.reach(starts, _chained(t), "out").select("source", "node", "depth")
+
+
+@query("""
+    SELECT concat('f:', a.p_partkey) AS source, concat('f:', a.p_partkey - d) AS node, CAST(d AS INTEGER) AS depth
+    FROM (SELECT p_partkey, unnest(range(1, 13)) AS d FROM part) a WHERE a.p_partkey % 16 >= d
+    AND a.p_partkey - d >= (SELECT min(p_partkey) FROM part)""")
+def blast_in(t: Testbed) -> DataFrame:
+    """Incoming reach, twelve hops deep."""
+    starts = t.table("part").selectExpr("concat('f:', p_partkey) AS source", "12 AS max_depth")
+    return blast.reach(starts, _chained(t), "in").select("source", "node", "depth")
+
+
+@query(f"""
+    SELECT from_id, to_id, kind, confidence, (SELECT count(*) FROM tb_entities) AS n_entities FROM tb_raw_edges
+    WHERE kind IN {_in(EDGE_KINDS)} AND from_id IN (SELECT id FROM tb_entities) AND to_id IN (SELECT id FROM tb_entities)""")
+def rebuilt_graph(t: Testbed) -> DataFrame:
+    """The stored graph replaced by one derived from itself, opened and validated."""
+    root = scratch_path(t.spark, "rebuilt")
+    entities = t.entities.withColumns({"metadata": F.lit("{}"), "last_indexed": F.current_timestamp()})
+    tables.write_graph(entities, tables.new_edges(t.raw_edges.where("kind <> 'imports'")), root)
+    tables.write_graph(tables.read_entities(t.spark, root), tables.new_edges(t.raw_edges), root)
+    graph = CodeGraph.load(t.spark, root)
+    total = graph.all_entities().agg(F.count(F.lit(1)).alias("n_entities")).scalar()
+    return graph.edges.select("from_id", "to_id", "kind", "confidence", total.alias("n_entities"))
+
+
 @query("""
     SELECT s.path AS source_path, e.id, e.kind, e.name, e.path, r.depth, r.edge_kind
     FROM sql_reach r JOIN tb_entities s ON source = s.id JOIN tb_entities e ON node = e.id""")
