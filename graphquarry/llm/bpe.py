@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
-from graphquarry.llm.common import slices, table
+from graphquarry.llm.common import bounded_batches, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_PIECES = 250_000
@@ -211,6 +211,7 @@ def locator(path: str):
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None, offsets: str | None = None) -> DataFrame:
     """Add the token numbers of ``text`` as ``ids``; with ``offsets``, also the code points of each token."""
+    bounded_batches(docs)
     path = vocabulary or default_vocabulary()
     out = docs.withColumn(ids, encoder(path)(F.col(text)))
     return out.withColumn(offsets, locator(path)(F.col(text), F.col(ids))) if offsets else out
@@ -218,6 +219,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
 
 def decode(tokens: DataFrame, ids: str = "ids", data: str = "data", vocabulary: str | None = None, as_text: bool = False) -> DataFrame:
     """Add the bytes, or the text, that token numbers stand for."""
+    bounded_batches(tokens)
     path = vocabulary or default_vocabulary()
     found = decoder(path)(F.col(ids))
     return tokens.withColumn(data, _as_text(found) if as_text else found)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from graphquarry.session import scratch_path
 
 SLICE_BYTES = 1 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 LOWEST_ID = -(1 << 63)
 
 
@@ -17,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless it is lower already.
+
+    The default of 10,000 rows suits numbers; as many texts, or pairs of them, fill the memory of Python workers and
+    of the JVM beside its heap. The setting is read when a query is planned, so it has to outlast the call.
+    """
+    conf = df.sparkSession.conf
+    now = int(conf.get(BATCH_CONF))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared scratch folder and read again.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
-from graphquarry.llm.common import kept, slices, table, without
+from graphquarry.llm.common import bounded_batches, kept, slices, table, without
 
 WINDOW = 10
 #: Characters of benchmark text whose windows one task may hold at a time.
@@ -182,6 +182,7 @@ def contamination(
     cut into blocks of that size by item id; each block scans all documents in a job of its own
     and keeps only hits, which then meet by row, so no task holds more than one block.
     """
+    bounded_batches(docs)
     docs = without(docs, *RESULT)
     blocks = _blocks(benchmark, item_id, item_text, block_chars)
     if len(blocks) == 1:

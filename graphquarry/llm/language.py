@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
-from graphquarry.llm.common import crc_of_id, kept, slices, table, without
+from graphquarry.llm.common import bounded_batches, crc_of_id, kept, slices, table, without
 
 UNDETERMINED = "und"
 SAMPLE_DOCUMENTS = 120
@@ -131,6 +131,7 @@ def identify(
     docs: DataFrame, samples: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN
 ) -> DataFrame:
     """Add the predicted language, its score, the margin to the runner-up, and whether it is rejected."""
+    bounded_batches(docs)
     docs = without(docs, *RESULT)
     found = docs.withColumn("guess_", predictor(docs.sparkSession, samples)(F.col(text))).select(*docs.columns, "guess_.*")
     rejected: Column = (F.col("lang_pred") == UNDETERMINED) | (F.col("shortened") & (F.col("margin") < min_margin))

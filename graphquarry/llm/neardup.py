@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
-from graphquarry.llm.common import LOWEST_ID, kept, slices, table, without
+from graphquarry.llm.common import LOWEST_ID, bounded_batches, kept, slices, table, without
 from graphquarry.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -346,6 +346,7 @@ def link_components(nodes: DataFrame, texts_of, how: Similarity) -> DataFrame |
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``n_shingles``, ``component_id`` (the smallest id reachable over links) and ``kept``; texts are not returned."""
+    bounded_batches(docs)
     columns = [c for c in without(docs, *RESULT, "id_").columns if c != text]
     rows = docs.withColumn("id_", F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST_ID)))
     seen = kept(

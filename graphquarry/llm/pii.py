@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
-from graphquarry.llm.common import kept, table, without
+from graphquarry.llm.common import bounded_batches, kept, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
@@ -310,6 +310,7 @@ def find(docs: DataFrame, text: str = "text", accept: float = ACCEPT, carry: tup
     Texts are read once; their few candidates are kept as a table, from which the model is trained and
     the decisions made. ``carry`` names the input columns to return, all by default.
     """
+    bounded_batches(docs)
     docs = without(docs, "candidates", "base_spans", "spans")
     columns = list(docs.columns if carry is None else carry)
     found = kept(docs.select(*columns, candidate_spans(F.col(text)).alias("candidates")), "pii-candidates")
@@ -323,27 +324,35 @@ def find(docs: DataFrame, text: str = "text", accept: float = ACCEPT, carry: tup
     return found.select(*columns, bases.alias("base_spans"), decider(model["weights"], accept)(F.col("candidates")).alias("spans"))
 
 
-@arrow_udf(from_arrow_type(pa.string()))
-def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        if text and found:
-            parts, at = [], 0
-            for s in found:
-                if s["stop"] > at:  # base spans of two kinds may overlap
-                    parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"] if s["start"] >= at else []
-                    at = s["stop"]
-            text = "".join(parts) + text[at:]
-        out.append(text)
-    return pa.array(out, pa.string())
+def masked_text(text: str | None, spans: list[dict]) -> str | None:
+    """``text`` with each span replaced by its kind in brackets; overlapping base spans become one."""
+    if not text or not spans:
+        return text
+    parts, at = [], 0
+    for s in spans:
+        if s["stop"] > at:
+            parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"] if s["start"] >= at else []
+            at = s["stop"]
+    return "".join(parts) + text[at:]
+
+
+def masker(weights: np.ndarray | None, accept: float):
+    @arrow_udf(from_arrow_type(pa.string()))
+    def masked(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = zip(texts, lists, strict=True)
+        return pa.array([masked_text(t.as_py(), decide(c.as_py() or [], weights, accept)) for t, c in rows], pa.string())
+
+    return masked
 
 
 def mask(docs: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets."""
+    """``docs`` with every span replaced by its kind. Decision and masking share one Python step."""
+    bounded_batches(docs)
     # the input row rides along whole, so that none of its columns can clash with the operator's
-    slim = docs.select(F.struct(*docs.columns).alias("row_"), F.col(text).alias("text_"))
-    found = find(slim, "text_", accept)
-    whole = _masked(F.col("text_"), F.col("spans")).alias(text)
+    slim = docs.select(F.struct(*docs.columns).alias("row_"), candidate_spans(F.col(text)).alias("candidates"))
+    found = kept(slim, "pii-candidates")
+    model = train(found)
+    whole = masker(model["weights"], accept)(F.col("row_")[text], F.col("candidates")).alias(text)
     return found.select(*[whole if c == text else F.col("row_")[c].alias(c) for c in docs.columns])
 
 
