@@ -5,8 +5,10 @@ headers, footers, sidebars, forms, and elements whose class, id or role says adv
 boilerplate outright. The first pass decides on the rest by length, link density and the share of stop
 words: much linked text is boilerplate, long text with many stop words is content, and what is short or
 middling stays open. The second pass gives each open block the label of its nearest decided neighbours: both
-sides agreeing, or content if they differ and the block leans to it, or the nearer side. Inside an article
-element, what is not mostly links is content; a page with such an element takes nothing from outside it.
+sides agreeing, or content if they differ and the block leans to it, or the nearer side. An article or main
+element is one more evidence: inside it shorter text with fewer stop words is content and the rest leans to it,
+outside it only what is content on its own is. If it holds text that the rules call content, its edge counts as
+boilerplate for open blocks outside; if the rules call no block content, its open blocks are taken.
 
 Defined cases: null or empty HTML gives an empty text; without any decided block, open blocks are content if
 they hold more text than links; white space, also no-break space, becomes one space; a line break
@@ -31,6 +33,7 @@ SHORT_CHARS = 70
 LONG_CHARS = 200
 MAX_LINK_DENSITY = 0.33
 FEW_STOP_WORDS = 0.18
+LEAST_STOP_WORDS = 0.09
 MANY_STOP_WORDS = 0.28
 
 # Tag, attribute and stop-word lists: fixed values.
@@ -153,22 +156,27 @@ class Cutter(HTMLParser):
             self.linked += len(data.strip())
 
 
-def first_pass(b: Block) -> str:
-    """content, boilerplate, or open with a leaning: near, short."""
+def first_pass(b: Block, marked: bool = False) -> str:
+    """content, boilerplate, or open with a leaning: near, short; ``marked`` pages have an article element."""
     density = b.linked / len(b.text)
     if b.skipped or density > MAX_LINK_DENSITY:
         return "boilerplate"
-    if b.inside:
-        return "content"
     if b.text.startswith(("©", "Copyright ")):
         return "boilerplate"
-    if len(b.text) < SHORT_CHARS:
-        return "near" if b.heading else "boilerplate" if b.linked else "short"
+    n = len(b.text)
+    if n < SHORT_CHARS:
+        if b.inside:
+            return "near"
+        return "near" if b.heading and not marked else "boilerplate" if b.linked else "short"
     words = _LETTERS.findall(b.text.lower())
     stops = sum(map(STOP_WORDS.__contains__, words)) / max(len(words), 1)
-    if stops >= MANY_STOP_WORDS:
-        return "content" if len(b.text) >= LONG_CHARS else "near"
-    return "near" if stops >= FEW_STOP_WORDS or len(b.text) >= LONG_CHARS else "short"
+    if b.inside:
+        return "content" if stops >= (LEAST_STOP_WORDS if n >= LONG_CHARS else FEW_STOP_WORDS) else "near"
+    if stops >= MANY_STOP_WORDS and n >= LONG_CHARS:
+        return "content"
+    if marked:
+        return "short"
+    return "near" if stops >= FEW_STOP_WORDS or n >= LONG_CHARS else "short"
 
 
 def second_pass(labels: list[str]) -> list[str]:
@@ -208,14 +216,29 @@ def blocks(html: str | None) -> list[Block]:
     cutter.close()
     cutter.flush()
     found = cutter.blocks
-    # where the page marks its article, nothing outside it is decided by rules of thumb
     marked = any(b.inside and not b.skipped for b in found)
-    labels = ["boilerplate" if marked and not b.inside else first_pass(b) for b in found]
-    for b, label in zip(found, second_pass(labels), strict=True):
-        b.label = label
+    for b in found:
+        b.label = first_pass(b, marked)
+    within = [b for b in found if b.inside and not b.skipped]
+    if any(b.label == "content" for b in within):
+        decide(within)
+        # the article's edge is boilerplate to what stands open outside
+        edge = Block("", 0, False, True, False, "boilerplate")
+        decide([edge, *(edge if b.inside else b for b in found), edge])
+    elif marked and all(b.label != "content" for b in found):
+        for b in found:
+            if b.label != "boilerplate":
+                b.label = "content" if b.inside else "boilerplate"
+    else:
+        decide(found)
     return found
 
 
+def decide(row: list[Block]) -> None:
+    for b, label in zip(row, second_pass([b.label for b in row]), strict=True):
+        b.label = label
+
+
 def main_text(html: str | None) -> str:
     return "\n".join(b.text for b in blocks(html) if b.label == "content")
 

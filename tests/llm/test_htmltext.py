@@ -47,3 +47,12 @@ def test_extract_replaces_text_and_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "<article>a</article>", "old"), (1, None, None)], "page_id long, html string, text string")
     rows = sorted((r["page_id"], r["text"]) for r in H.extract(pages).collect())
     assert rows == [(1, ""), (1, "a")]
+
+
+def test_an_article_element_is_evidence_and_not_the_verdict():
+    story = " ".join(LONG.split())
+    teaser = "<article><p>Read this card</p></article>"
+    assert H.main_text(f"<body><div><a href=/>Site</a></div><p>{LONG}</p><p>{LONG}</p><p><a href=/>All cards</a></p>{teaser}<p><a href=/>More</a></p></body>") == f"{story}\n{story}"
+    notice = "Filed: Berlin, Gotham, Springfield; Ref. 2020/11/XX-42; Nr. 12345678; Lic. ABC; Vol. 7; Ed. 3" * 2
+    page = f"<body><p>outside</p><article><p>{LONG}</p><p>{LONG}</p><p><a href=/>all tags</a></p><p>{notice}</p></article><p>{LONG}</p></body>"
+    assert H.main_text(page) == f"{story}\n{story}\n{story}"
