@@ -1,8 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Scripts, styles and the like have no text; blocks in menus,
-headers, footers, sidebars, forms, and elements whose class, id or role says advert, notice or comments are
-boilerplate outright. The first pass decides on the rest by length, link density and the share of stop
+headers, footers, sidebars, forms, and elements with a whole class, id or role that says advert, notice or comments
+are boilerplate outright. Where the word is only part of a class, id or role, the name weighs: only what is long, with
+many stop words and few links, is content there. Wrappers are exempt: the first article element, an element with a part
+of a name that holds main, a first-level heading or most of the text, and one with a whole name that holds both one
+of these two and most of the text. The first pass decides on the rest by length, link density and the share of stop
 words: much linked text is boilerplate, long text with many stop words is content, and what is short or
 middling stays open. The second pass gives each open block the label of its nearest decided neighbours: both
 sides agreeing, or content if they differ and the block leans to it, or the nearer side. An article or main
@@ -32,6 +35,7 @@ from graphquarry.llm.common import table
 SHORT_CHARS = 70
 LONG_CHARS = 200
 MAX_LINK_DENSITY = 0.33
+MAX_LINK_DENSITY_INSIDE = 0.6
 FEW_STOP_WORDS = 0.18
 LEAST_STOP_WORDS = 0.09
 MANY_STOP_WORDS = 0.28
@@ -86,6 +90,8 @@ class Block:
     inside: bool
     skipped: bool
     label: str = ""
+    names: tuple[int, ...] = ()  # elements around it with a name on the list
+    weighs: bool = False
 
 
 class Cutter(HTMLParser):
@@ -93,9 +99,13 @@ class Cutter(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, bool]] = []
         self.counts: Counter[str] = Counter()
         self.skips = self.articles = self.links = 0
+        self.names: tuple[int, ...] = ()
+        self.whole: list[bool] = []
+        self.holders: set[int] = set()
+        self.seen_article = False
         self.parts: list[str] = []
         self.linked = 0
         self.heading = False
@@ -104,7 +114,10 @@ class Cutter(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append(Block(text, min(self.linked, len(text)), self.heading, self.articles > 0, self.skips > 0))
+            self.blocks.append(Block(
+                text, min(self.linked, len(text)), self.heading, self.articles > 0, self.skips > 0,
+                names=self.names,
+            ))
         self.parts.clear()
         self.linked = 0
 
@@ -117,12 +130,21 @@ class Cutter(HTMLParser):
             self.parts.append(" ")
         if tag in VOID_TAGS:
             return
-        named = tag not in NEVER_SKIPPED and any(
-            not SKIPPED_NAMES.isdisjoint(map(str.lower, _NAME.findall(value or "")))
-            for name, value in attrs if name in ("class", "id", "role")
-        )
-        skipped = tag in SKIPPED_TAGS or named
-        self.open.append((tag, skipped))
+        whole = part = False
+        for name, value in attrs:
+            if name in ("class", "id", "role") and value and tag not in NEVER_SKIPPED:
+                whole |= not SKIPPED_NAMES.isdisjoint(value.lower().split())
+                part |= not SKIPPED_NAMES.isdisjoint(map(str.lower, _NAME.findall(value)))
+        first = tag == "article" and not self.skips and not self.seen_article
+        self.seen_article |= first
+        if tag in ("main", "h1") and not self.skips:
+            self.holders.update(self.names)
+        skipped = tag in SKIPPED_TAGS
+        named = part and not first
+        if named:
+            self.names += (len(self.whole),)
+            self.whole.append(whole)
+        self.open.append((tag, skipped, named))
         self.counts[tag] += 1
         self.skips += skipped
         self.articles += tag in ("article", "main")
@@ -130,12 +152,14 @@ class Cutter(HTMLParser):
         self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (self.heading and tag not in BLOCK_TAGS)
 
     def shut(self) -> None:
-        tag, skipped = self.open.pop()
+        tag, skipped, named = self.open.pop()
         self.counts[tag] -= 1
         if tag in BLOCK_TAGS:
             self.flush()
             self.heading = False
         self.skips -= skipped
+        if named:
+            self.names = self.names[:-1]
         self.articles -= tag in ("article", "main")
         self.links -= tag == "a"
 
@@ -158,22 +182,27 @@ class Cutter(HTMLParser):
 
 def first_pass(b: Block, marked: bool = False) -> str:
     """content, boilerplate, or open with a leaning: near, short; ``marked`` pages have an article element."""
+    inside = b.inside and not b.weighs
     density = b.linked / len(b.text)
-    if b.skipped or density > MAX_LINK_DENSITY:
+    if b.skipped or density > (MAX_LINK_DENSITY_INSIDE if inside else MAX_LINK_DENSITY):
         return "boilerplate"
     if b.text.startswith(("©", "Copyright ")):
         return "boilerplate"
     n = len(b.text)
     if n < SHORT_CHARS:
-        if b.inside:
+        if b.weighs:
+            return "boilerplate"
+        if inside:
             return "near"
         return "near" if b.heading and not marked else "boilerplate" if b.linked else "short"
     words = _LETTERS.findall(b.text.lower())
     stops = sum(map(STOP_WORDS.__contains__, words)) / max(len(words), 1)
-    if b.inside:
+    if inside:
         return "content" if stops >= (LEAST_STOP_WORDS if n >= LONG_CHARS else FEW_STOP_WORDS) else "near"
     if stops >= MANY_STOP_WORDS and n >= LONG_CHARS:
         return "content"
+    if b.weighs:
+        return "boilerplate"
     if marked:
         return "short"
     return "near" if stops >= FEW_STOP_WORDS or n >= LONG_CHARS else "short"
@@ -216,6 +245,7 @@ def blocks(html: str | None) -> list[Block]:
     cutter.close()
     cutter.flush()
     found = cutter.blocks
+    settle_names(found, cutter.whole, cutter.holders)
     marked = any(b.inside and not b.skipped for b in found)
     for b in found:
         b.label = first_pass(b, marked)
@@ -234,6 +264,24 @@ def blocks(html: str | None) -> list[Block]:
     return found
 
 
+def settle_names(found: list[Block], whole: list[bool], holders: set[int]) -> None:
+    """Skip blocks in elements with a whole name and weigh those with part of one, but not in the page's wrappers."""
+    held: Counter[int] = Counter()
+    total = 0
+    for b in found:
+        if not b.skipped and b.linked <= MAX_LINK_DENSITY * len(b.text):
+            total += len(b.text)
+            for number in b.names:
+                held[number] += len(b.text)
+    most = {number for number, n in held.items() if n * 2 > total}
+    for b in found:
+        for number in b.names:
+            if whole[number]:
+                b.skipped |= number not in most or number not in holders
+            else:
+                b.weighs |= number not in most and number not in holders
+
+
 def decide(row: list[Block]) -> None:
     for b, label in zip(row, second_pass([b.label for b in row]), strict=True):
         b.label = label

@@ -56,3 +56,21 @@ def test_an_article_element_is_evidence_and_not_the_verdict():
     notice = "Filed: Berlin, Gotham, Springfield; Ref. 2020/11/XX-42; Nr. 12345678; Lic. ABC; Vol. 7; Ed. 3" * 2
     page = f"<body><p>outside</p><article><p>{LONG}</p><p>{LONG}</p><p><a href=/>all tags</a></p><p>{notice}</p></article><p>{LONG}</p></body>"
     assert H.main_text(page) == f"{story}\n{story}\n{story}"
+
+
+@pytest.mark.parametrize("wrapper", ["no-sidebar", "content-with-sidebar", "legal-analysis", "ad-free", "post comments-open", "widget"])
+def test_a_name_on_a_wrapper_does_not_drop_the_story(wrapper):
+    story = " ".join(LONG.split())
+    inner = f"<h1>Head</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p>"
+    for tag in ("div", "section", "article"):
+        page = f"<body><{tag} class='{wrapper}'>{inner}</{tag}><div class=comments><article><p>{LONG * 9}</p></article></div></body>"
+        if wrapper != "widget" or tag == "article":
+            assert H.main_text(page) == f"Head\n{story}\nShort one.\n{story}"
+    assert H.main_text(f"<body><div class='{wrapper}'>{inner}</div></body>") == f"Head\n{story}\nShort one.\n{story}"
+
+
+def test_half_linked_text_stays_in_an_article():
+    half = "It is in the book of " + "<a href=/>the names that are known to all</a>" + " and."
+    story = " ".join(LONG.split())
+    assert H.main_text(f"<article><p>{LONG}</p><p>{half}</p><p>{LONG}</p></article>").split("\n")[0] == story
+    assert "names that are known" in H.main_text(f"<article><p>{LONG}</p><p>{half}</p><p>{LONG}</p></article>")
