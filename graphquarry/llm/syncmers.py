@@ -1,16 +1,17 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-A text is lower-cased and cut into tokens: runs of visible characters, and single characters of scripts
-written without spaces. Tokens are the alphabet. Of all runs of ``K`` tokens, a closed syncmer is one whose
-smallest inner run of ``S`` tokens (by hash) is its first or its last. Whether a run is chosen depends
-on the run alone, so equal passages choose equal anchors wherever they stand. The fingerprint is the
-sequence of anchor hashes in text order; likeness is the share of common anchors.
+A text is lower-cased; its characters without white space are the alphabet, in every script and at every length.
+Of all runs of ``K`` characters, a closed syncmer is one whose smallest inner run of ``S`` characters (by hash) is its
+first or its last. Whether a run is chosen depends on the run alone, so equal passages choose equal
+anchors wherever they stand. The fingerprint is the sequence of anchor hashes in text order, of which equal
+neighbours, as in a character repeated at length, count once; likeness is the share of common anchors.
 
-The smallest inner run of every window comes from doubling: minima over 2, 4, 8 neighbours, each one
-pass over an array. Nothing leaves the JVM.
+Texts under ``FEW`` characters, where few runs fit, have all inner runs as anchors beside the syncmers.
+
+Nothing leaves the JVM. Most runs are refused after two or three comparisons of inner runs.
 
 Defined cases: null and empty texts, and texts of white space, have no anchor and an empty
-fingerprint; in a text with fewer than ``2 * K`` tokens, where few runs fit, every token is an anchor; two empty fingerprints have likeness 1.
+fingerprint; two empty fingerprints have likeness 1.
 """
 
 from __future__ import annotations
@@ -22,49 +23,59 @@ from graphquarry.operators.ordered import dense_index
 
 K = 9
 S = 2
-WINDOW = K - S + 1  # a power of two, for the doubling
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-TOKEN = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+"
+WINDOW = K - S + 1
+FEW = 4 * K  # from here on the first three quarters of a text hold a syncmer
+WORD = r"[^\s]+"
 
 
 def with_anchors(df: DataFrame, text: str, name: str, keep_places: bool = False) -> DataFrame:
     """Add ``name``, the array of anchor hashes in text order; with ``keep_places``, structs (at, value).
 
-    ``at`` is the number of the anchor's first token, counted from 0.
+    ``at`` is the number of the word in which the anchor begins, counted from 0, plus the number of the character in it
+    in units of 2**-30.
     """
-    columns = without(df, name, "t_", "h_", "pair_", "low_").columns
+    columns = without(df, name, "c_", "pair_", "place_", "at_", "all_").columns
     df = df.select(*columns)
-    step = df.withColumn("t_", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)))
-    step = step.withColumn("h_", F.transform("t_", lambda t: F.xxhash64(t))).drop("t_")
-    step = step.withColumn("pair_", F.transform("h_", lambda h, i: F.xxhash64(h, F.get("h_", i + 1))))
-    step = step.withColumn("low_", F.col("pair_"))
-    span = 1
-    while span < WINDOW:
-        step = _doubled(step, span)
-        span *= 2
-    last = F.lit(WINDOW - 1)
-    places = F.when(F.size("h_") >= 2 * K, F.sequence(F.lit(0), F.size("h_") - K)).otherwise(F.array().cast("array<int>"))
-    chosen = F.filter(
-        places,
-        lambda i: (F.get("low_", i) == F.get("pair_", i)) | (F.get("low_", i) == F.get("pair_", i + last)),
-    )
-    inner = [*range(0, K - S, S), K - S]  # inner runs that together cover all K tokens
-    value = lambda i: F.hash(*[F.get("pair_", i + F.lit(j)) for j in inner])
-    short = F.size("h_") < 2 * K
-    step = step.withColumn("at_", chosen)
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    visible = F.regexp_replace(lower, r"\s+", "")
+    step = df.withColumn("c_", F.when(visible == "", F.array().cast("array<string>")).otherwise(F.split(visible, "")))
+    if keep_places:
+        words = F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+        inside = lambda w, i: F.transform(F.sequence(F.lit(0), F.length(w) - 1), lambda o: i + o * F.lit(2.0**-30))
+        step = step.withColumn("place_", F.flatten(F.transform(words, inside)))
+    step = step.withColumn("pair_", F.transform("c_", lambda c, i: F.xxhash64(F.xxhash64(c), F.xxhash64(F.get("c_", i + 1)))))
+    step = step.drop("c_")
+    n = F.size("pair_")
+    pair = lambda i: F.get("pair_", i)
+
+    def chosen(first: Column, i: Column) -> Column:  # the cheapest tests that refuse come first
+        last = pair(i + (WINDOW - 1))
+        inner = [pair(i + j) for j in range(1, WINDOW - 1)]
+        at_first, at_last = first <= last, last <= first
+        for x in inner:
+            at_first = at_first & (first <= x)
+        for x in reversed(inner):
+            at_last = at_last & (last <= x)
+        return (i <= n - K) & (at_first | at_last)
+
+    inner = [*range(0, K - S, S), K - S]  # inner runs that together cover all K characters
+    value = lambda i: F.hash(*[pair(i + j) for j in inner]).bitwiseOR(F.lit(1))
+    at = F.filter(F.transform("pair_", lambda p, i: F.when(chosen(p, i), i)), lambda i: i.isNotNull())
+    step = step.withColumn("at_", at)
+    struct = lambda i, v: F.struct(i.alias("at"), v.alias("value"))
+    found = F.transform("at_", lambda i: struct(i, value(i)))
+    each = F.transform("pair_", lambda p, i: struct(i, F.hash(p).bitwiseAND(F.lit(-2))))
+    short = F.array_sort(F.concat(each, found))
     if keep_places:
-        found = F.transform("at_", lambda i: F.struct(i.alias("at"), value(i).alias("value")))
-        each = F.transform("h_", lambda h, i: F.struct(i.alias("at"), F.hash(h).alias("value")))
+        step = step.withColumn("all_", F.when(n < FEW, short).otherwise(found))
+        anchors = F.filter("all_", lambda a, i: (i == 0) | (a["value"] != F.get("all_", i - 1)["value"]))
+        anchors = F.transform(anchors, lambda a: struct(F.get("place_", a["at"]), a["value"]))
     else:
-        found, each = F.transform("at_", value), F.transform("h_", lambda h: F.hash(h))
-    anchors = F.when(short, each).otherwise(found)
+        step = step.withColumn("all_", F.when(n < FEW, short["value"]).otherwise(F.transform("at_", value)))
+        anchors = F.filter("all_", lambda v, i: (i == 0) | (v != F.get("all_", i - 1)))
     return step.select(*columns, anchors.alias(name))
 
 
-def _doubled(step: DataFrame, span: int) -> DataFrame:
-    return step.withColumn("low_", F.transform("low_", lambda low, i: F.least(low, F.get("low_", i + F.lit(span)))))
-
-
 def fingerprint(anchors: Column) -> Column:
     """Eight hexadecimal digits per anchor, in text order."""
     digits = lambda v: F.lpad(F.hex(v.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")
@@ -78,7 +89,7 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``anchors`` with their token positions, and ``fingerprint``."""
+    """Add ``anchors`` with their places, and ``fingerprint``."""
     docs = without(docs, "anchors", "fingerprint")
     found = with_anchors(docs, text, "anchors", keep_places=True)
     return found.withColumn("fingerprint", fingerprint(F.transform("anchors", lambda a: a["value"])))
@@ -88,8 +99,8 @@ def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Every document with its anchors, and of the next document by id the anchors and the opening characters
     that a quarter of this one's length asks for; after the last comes the first.
 
-    Only ids and lengths are sorted. Each document then goes to its own id once, with its anchors; what its
-    predecessor needs of it goes on to that id. Both joins read the same exchange of the texts.
+    Only ids and lengths are sorted. Each text then goes to its own id once and on to the id of its predecessor; both
+    joins read the same exchange of the texts. Anchors take more room than texts, so they are made where they are used.
 
     Defined cases: a null id counts as the smallest; rows that share an id all precede the next id,
     and as somebody's successor the one with the smallest opening stands for them; a single id follows itself.
@@ -105,15 +116,17 @@ def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.pmod(F.col("place") + 1, F.greatest(total, F.lit(1))).alias("place"), F.col("key").alias("before"), "need"
     )
     follows = kept(order.select("place", "key").join(turn, "place").select("key", "before", "need"), "syncmers-follows")
-    full = with_anchors(rows, "text", "anchors")
-    given = full.join(follows, "key").select(
+    given = rows.join(follows, "key").select(
         F.col("before").alias("key"),
         # id and length ride along so that both joins read one and the same exchange
-        F.struct(F.expr("substring(text, 1, need)").alias("opening"), "anchors", "doc_id", "n_chars").alias("next"),
+        F.struct(
+            F.expr("substring(text, 1, need)").alias("opening"), F.expr("substring(text, need + 1)").alias("rest"), "doc_id", "n_chars"
+        ).alias("next"),
     )
-    return full.join(given.groupBy("key").agg(F.min("next").alias("next")), "key").select(
-        "doc_id", "text", "n_chars", "anchors", F.col("next.opening").alias("opening"), F.col("next.anchors").alias("next_anchors")
+    both = rows.join(given.groupBy("key").agg(F.min("next").alias("next")), "key").select(
+        "doc_id", "text", "n_chars", F.col("next.opening").alias("opening"), F.concat("next.opening", "next.rest").alias("next_text")
     )
+    return with_anchors(with_anchors(both, "text", "anchors"), "next_text", "next_anchors").drop("next_text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from graphquarry.llm import syncmers as S
 
 
@@ -66,3 +68,18 @@ def test_single_repeated_and_missing_ids(spark):
     assert got == [("4", "cccc", "aa"), ("4", "cccc", "aa"), ("4", "dddd", "aa"), ("None", "aaaa bbbb", "cc")] or all(g[2] for g in got)
     assert S.with_successor(docs.limit(0)).collect() == []
     assert [r["opening"] for r in S.with_successor(docs.where("doc_id IS NULL")).collect()] == ["aa"]
+
+
+def near(spark, left, right):
+    df = spark.createDataFrame([(left, right)], "a string, b string")
+    return S.with_anchors(S.with_anchors(df, "a", "x"), "b", "y").select(S.likeness(F.col("x"), F.col("y"))).first()[0]
+
+
+def test_unspaced_scripts_and_scattered_edits_keep_anchors(spark):
+    rng = random.Random(6)
+    for alphabet in ("កខគឃងចឆជឈញ", "ກຂຄງຈສຊຍດຕ", "ABCDEFabcdef0123456789+/", "a,b/c.d:e"):
+        text = "".join(rng.choice(alphabet) for _ in range(2000))
+        assert near(spark, text, text[:1500] + "".join(rng.choice(alphabet) for _ in range(500))) > 0.4
+    words = [f"w{rng.randrange(10**5)}ord{rng.randrange(10**5)}" for _ in range(180)]
+    edited = ["other" if i % 9 == 4 else w for i, w in enumerate(words)]
+    assert near(spark, " ".join(words), " ".join(edited)) > 0.4
