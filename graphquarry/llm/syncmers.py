@@ -6,7 +6,8 @@ first or its last. Whether a run is chosen depends on the run alone, so equal pa
 anchors wherever they stand. The fingerprint is the sequence of anchor hashes in text order, of which equal
 neighbours, as in a character repeated at length, count once; likeness is the share of common anchors.
 
-Texts under ``FEW`` characters, where few runs fit, have all inner runs as anchors beside the syncmers.
+Texts under ``FEW`` characters, where few runs fit, have all inner runs as anchors beside the syncmers. Hashes of inner runs
+are even and those of syncmers odd: where only one of two texts has inner runs, syncmers alone are compared.
 
 Nothing leaves the JVM. Most runs are refused after two or three comparisons of inner runs.
 
@@ -83,7 +84,11 @@ def fingerprint(anchors: Column) -> Column:
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Common anchors over all distinct anchors of both, 0 to 1."""
+    """Common anchors over all distinct anchors of both, 0 to 1; inner runs count if both have them."""
+    short = lambda v: F.coalesce(F.get(v, F.lit(0)).bitwiseAND(F.lit(1)) == 0, F.lit(False))
+    syncmers = lambda v: F.filter(v, lambda a: a.bitwiseAND(F.lit(1)) == 1)
+    one = (short(left) != short(right)) & (F.size(left) > 0) & (F.size(right) > 0)
+    left, right = (F.when(one & short(v), syncmers(v)).otherwise(v) for v in (left, right))
     every = F.size(F.array_union(left, right))
     return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(left, right)) / F.greatest(every, F.lit(1)))
 

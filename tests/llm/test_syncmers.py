@@ -75,6 +75,16 @@ def near(spark, left, right):
     return S.with_anchors(S.with_anchors(df, "a", "x"), "b", "y").select(S.likeness(F.col("x"), F.col("y"))).first()[0]
 
 
+def test_texts_on_either_side_of_a_length_share_anchors(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(19)]
+    assert near(spark, " ".join(words[:18]), " ".join(words[:17])) > 0.6  # 18 and 17 words
+    letters = "".join(words)
+    for n in (S.K, 2 * S.K, S.FEW, S.FEW + 1):
+        assert near(spark, letters[:n], letters[: n - 1]) > 0.3
+    assert near(spark, "word", "ward") > 0 and near(spark, "", "word") == near(spark, "", letters) == 0
+
+
 def test_unspaced_scripts_and_scattered_edits_keep_anchors(spark):
     rng = random.Random(6)
     for alphabet in ("កខគឃងចឆជឈញ", "ກຂຄງຈສຊຍດຕ", "ABCDEFabcdef0123456789+/", "a,b/c.d:e"):
