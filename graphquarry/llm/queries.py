@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, htmltext, language, lmscore, neardup, pii, syncmers, urlfilter, warc
+from graphquarry.llm import bpe, decontaminate, htmltext, language, linededup, lmscore, neardup, pii, syncmers, urlfilter, warc
 
 QUERIES = {
     "op1_lm_score": lmscore.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
     "op10_redirect_url_filter": urlfilter.query,
+    "op11_line_dedup": linededup.query,
 }
 ORACLES = {
     "op2_minhash_near_dedup": r"""
@@ -76,5 +77,17 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op11_line_dedup": r"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM cut),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+shared AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT doc_id, line, pos, first IS NOT NULL AND first <> doc_id AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
 """,
 }
