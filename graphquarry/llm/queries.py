@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from graphquarry.llm import bpe, decontaminate, htmltext, language, linededup, lmscore, neardup, pii, syncmers, urlfilter, warc
+from graphquarry.llm import (
+    alignment, bpe, decontaminate, htmltext, language, linededup, lmscore, merkle, neardup, pii, syncmers, urlfilter, warc,
+)
 
 QUERIES = {
     "op1_lm_score": lmscore.query,
@@ -16,6 +18,8 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_redirect_url_filter": urlfilter.query,
     "op11_line_dedup": linededup.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_token_alignment": alignment.query,
 }
 ORACLES = {
     "op2_minhash_near_dedup": r"""
