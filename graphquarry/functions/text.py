@@ -3,7 +3,8 @@
 Everything here is a narrow, per-row expression: no shuffle is needed to go from one file's
 text to its facts. Comments and literals are found by one pattern that takes, at each place, whichever of
 them begins first, so none can hide inside another. Repeated groups are possessive: the JVM's regex engine
-runs those as loops, whatever the length of the text.
+runs those as loops, whatever the length of the text. Nesting and meanings that depend on what stands before
+are no matter of patterns: texts that have them go through the folds of :mod:`graphquarry.functions.lexing`.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from graphquarry.functions import lexing
+from graphquarry.functions.lexing import let
+
 MARK = "\u0001"       # starts an item, followed by its line number
 MARK_END = "\u0002"   # ends the line number
 GENERICS = "\u0003"   # stands for one balanced <...> list
@@ -23,33 +27,18 @@ RUST_PRIMITIVES = (
 )
 
 TOKEN, TOKEN_END = "\u0004", "\u0005"  # around a comment or literal
-#: Levels of nested comments, brackets and generics that the patterns spell out.
-NESTING = 32
-
-
-def nested(opens: str, closes: str, other: str) -> str:
-    """A pattern of ``opens`` up to its own ``closes``; ``other`` is what may stand between, as possessive runs."""
-    inner = f"{opens}(?:{other})*+{closes}"
-    for _ in range(NESTING - 1):
-        inner = f"{opens}(?:{other}|{inner})*+{closes}"
-    return inner
-
-
-BLOCK_COMMENT = nested(r"/\*", r"\*/", r"[^*/]++|\*(?!/)|/(?!\*)")
-BRACES = nested(r"\{", r"\}", r"[^{}]++")
-BRACKETS = nested(r"\[", r"\]", r"[^\[\]]++")
-ANGLES = nested("<", ">", "[^<>]++")
+LEVEL = "\u0006"      # stands for a bracket pair already closed
 
 RUST_TOKEN = (
-    r"(?s)//[^\n]*+|" + BLOCK_COMMENT
-    + r'|\bb?r(#*+)"(?:[^"]|"(?!\1))*+"\1|"(?:[^"\\]|\\.)*+"'
-    + r"|'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]*+\}|x[0-9a-fA-F]{2}|.))'"
+    r"(?s)//[^\n]*+|/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
+    r'|\bb?r(#*+)"(?:[^"]|"(?!\1))*+"\1|"(?:[^"\\]|\\.)*+"'
+    r"|'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]*+\}|x[0-9a-fA-F]{2}|.))'"
 )
 TS_TOKEN = (
     r"(?s)//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
     r"""|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"""
 )
-RUST_MACRO = r"\bmacro_rules!\s*+(?:r#)?\w++\s*+" + BRACES
+TS_STRING = r"""(?s)"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'"""
 RUST_ITEM = r"(?=\b(?:fn|struct|trait)\s+\w)"
 RUST_SPLIT_ITEM = r"\b(fn|struct|trait)[ \t]*+(\n\s*+)((?:r#)?\w++)"
 RUST_IMPL = r"(^|[{};\]])(\s*)(?=(?:unsafe\s+)?impl\b)"
@@ -68,30 +57,37 @@ def _newlines(piece: Column) -> Column:
 def _tokens_replaced(text: Column, token: str, replaced: Callable[[Column], Column]) -> Column:
     """``text`` with every match of ``token`` replaced by what ``replaced`` makes of it."""
     marked = F.regexp_replace(text, F.lit(token), F.lit(f"{TOKEN}$0{TOKEN_END}"))
+    # marks come in pairs, so every second piece is a match
     pieces = F.transform(
-        F.split(marked, f"(?={TOKEN})|(?<={TOKEN_END})"),
-        lambda p: F.when(p.startswith(TOKEN), replaced(F.translate(p, TOKEN + TOKEN_END, ""))).otherwise(p),
+        F.split(marked, f"[{TOKEN}{TOKEN_END}]"), lambda p, i: F.when(i.bitwiseAND(F.lit(1)) == 1, replaced(p)).otherwise(p)
     )
     return F.array_join(pieces, "")
 
 
 def clean_rust(source: Column) -> Column:
     """Rust text without comments, string contents and macro bodies; line breaks stay where they were."""
-    text = F.translate(source, MARK + MARK_END + GENERICS + TOKEN + TOKEN_END + "\r", "")
+    plain = F.translate(source, MARK + MARK_END + GENERICS + TOKEN + TOKEN_END + LEVEL + "\r", "")
 
     def blank(token: Column) -> Column:
         comment = token.startswith("//") | token.startswith("/*")
         quoted = F.when(token.startswith("'"), "'_'").when(comment, " ").otherwise('""')
         return F.concat(quoted, _newlines(token))
 
-    text = _tokens_replaced(text, RUST_TOKEN, blank)
-    macro = F.contains(text, F.lit("macro_rules!"))
-    return F.when(macro, _tokens_replaced(text, RUST_MACRO, lambda m: F.concat(F.lit(";"), _newlines(m)))).otherwise(text)
+    # the pattern leaves a comment that holds another one open
+    def cleaned(text: Column) -> Column:
+        nested = lambda fast: F.when(F.contains(fast, F.lit("/*")), lexing.rust_code(text)).otherwise(fast)
+        return let(_tokens_replaced(text, RUST_TOKEN, blank), nested)
 
+    return let(let(plain, cleaned), lexing.without_macros)
 
-def clean_typescript(source: Column) -> Column:
-    """TypeScript text without comments and contents of template literals; other strings stay."""
-    text = F.translate(source, TOKEN + TOKEN_END + "\r", "")
+
+def clean_typescript(source: Column, jsx: Column | bool = False) -> Column:
+    """TypeScript text without comments, contents of template literals, regular expressions and markup; other strings stay.
+
+    ``jsx`` says whether the file may hold markup. One pattern reads texts without bare slashes, ``${`` and markup.
+    """
+    jsx = F.lit(jsx) if isinstance(jsx, bool) else jsx
+    plain = F.translate(source, TOKEN + TOKEN_END + "\r", "")
 
     def blank(token: Column) -> Column:
         comment = token.startswith("//") | token.startswith("/*")
@@ -99,12 +95,13 @@ def clean_typescript(source: Column) -> Column:
         return F.when(comment, F.concat(F.lit(" "), _newlines(token))).when(
             template, F.concat(F.lit("``"), _newlines(token))).otherwise(token)
 
-    return _tokens_replaced(text, TS_TOKEN, blank)
-
+    def stateful(text: Column, fast: Column) -> Column:
+        templates = F.contains(text, F.lit("`")) & F.contains(text, F.lit("${"))
+        markup = jsx & F.contains(text, F.lit("<"))
+        slash = F.contains(fast, F.lit("/")) & F.contains(F.regexp_replace(fast, F.lit(TS_STRING), F.lit("''")), F.lit("/"))
+        return F.when(templates | markup | slash, lexing.typescript_code(text, jsx)).otherwise(fast)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(plain, lambda text: let(_tokens_replaced(text, TS_TOKEN, blank), lambda fast: stateful(text, fast)))
 
 
 def fact(kind: Column, pos: Column, name: Column, line: Column) -> Column:
@@ -159,8 +156,11 @@ def rust_item_facts(clean: Column) -> Column:
 
 def fn_name(segment: Column) -> Column:
     """Name of a function that has a body; empty for a bare signature."""
-    flat = F.regexp_replace(segment, F.lit(BRACKETS), F.lit("[]"))
-    return F.regexp_extract(flat, r"^fn\s+((?:r#)?\w+)[^;{]*\{", 1)
+    plain = F.regexp_extract(segment, r"^fn\s+((?:r#)?\w++)[^;{\[]*+\{", 1)
+    # array types hold semicolons and may hold braces
+    flat = lexing.flattened(segment, "[", "]", "[]", LEVEL)
+    listed = F.regexp_extract(flat, r"^fn\s+((?:r#)?\w+)[^;{]*\{", 1)
+    return F.when(segment.rlike(r"^fn\s+(?:r#)?\w++[^;{\[]*+\["), listed).otherwise(plain)
 
 
 def impl_name(segment: Column) -> Column:
@@ -170,7 +170,7 @@ def impl_name(segment: Column) -> Column:
     """
     header = F.regexp_extract(segment, r"^(?:unsafe\s+)?impl\b([^{]*)\{", 1)
     header = F.replace(header, F.lit("->"), F.lit("~"))
-    header = F.regexp_replace(header, F.lit(ANGLES), F.lit(GENERICS))
+    header = lexing.flattened(header, "<", ">", GENERICS, LEVEL)
     header = F.regexp_replace(header, "^\\s*" + GENERICS, "")
     header = F.regexp_replace(header, r"(?s)\bwhere\b.*$", "")
     bare = F.transform(

@@ -32,7 +32,7 @@ def facts(files: DataFrame) -> DataFrame:
     """
     itself = F.array(text.fact(F.lit("file"), F.lit(0), paths.basename(F.col("path")), F.lit(None)))
     rust = text.let(text.clean_rust(F.col("source")), text.rust_facts)
-    script = text.ts_facts(text.clean_typescript(F.col("source")))
+    script = text.ts_facts(text.clean_typescript(F.col("source"), F.col("path").endswith(".tsx")))
     found = F.when(F.col("path").endswith(".rs"), rust).otherwise(script)
     return _explode(files, F.concat(itself, found))
 
@@ -76,7 +76,8 @@ def rust_mods(files: DataFrame) -> DataFrame:
 def ts_specifiers(files: DataFrame) -> DataFrame:
     """``(path, pos, specifier)`` of every TypeScript import or re-export with a source."""
     scripts = files.where(F.col("path").rlike(r"\.tsx?$"))
-    return specifiers_of(_explode(scripts, text.ts_facts(text.clean_typescript(F.col("source")))))
+    clean = text.clean_typescript(F.col("source"), F.col("path").endswith(".tsx"))
+    return specifiers_of(_explode(scripts, text.ts_facts(clean)))
 
 
 def item_entities(items: DataFrame) -> DataFrame:

@@ -184,3 +184,52 @@ def test_ids_do_not_mix_up_paths_and_names(spark):
     rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "a|b|c"), ("a\\", "|b|c"), ("a", "\\|b|c")], "path string, name string")
     ids = rows.select(tables.entity_id(F.lit("File"), F.col("path"), F.col("name")).alias("id"))
     assert ids.distinct().count() == 5
+
+
+HARD_TS = [
+    ("""const re = /["'`]/;\nimport c from "./c";\nconst z = `t`;\nimport d from "./d";\n""", ["./c", "./d"]),
+    ("const t = `a ${ `inner ${x} ${'}'}` } 'b`;\nimport b1 from './b1';\nlet s = `${a}//`;\nimport b2 from './b2';\n", ["./b1", "./b2"]),
+    ("const x = a / b; const y = 'q' / 2;\nimport a from './a';\nif (x) /'/.test(y);\nimport b from './b';\n", ["./a", "./b"]),
+    ("const f = () => { return /[/'\\]`]/g };\nimport a from './a'; export * from './b';\n", ["./a", "./b"]),
+    ("x = y\n/* ' */ / 2; // it's /\nimport a from './a';\n/* import no from './no'; */\nconst u = `http://x`;\nimport b from './b';\n", ["./a", "./b"]),
+    ("s = `\nimport n from './n';\n${ b + `\nimport m from './m';\n` }\n`;\nimport f from './f';\n", ["./f"]),
+    ("const n = a++ / 2, m = b[0] / c, k = (a) / 2; '/';\nimport f from './f';\n", ["./f"]),
+    ("a = b /2; c = `/`; d = '/' ; e = /`/\nimport f from './f';\n", ["./f"]),
+]
+HARD_TSX = [
+    ("import R from 'react';\nconst A = () => <p title=\"it's\">don't `use` {f(`x ${1}`)} <b/> // no </p>;\nimport q from './q';\n", ["react", "./q"]),
+    ("const g = <T,>(x: T) => x < 3 ? \"a\" : 'b';\nimport w from './w';\nconst h = a < b; // it's\nimport v from './v';\n", ["./w", "./v"]),
+    ("function P() {\n return (\n <>\n <A x={y > 2 ? <B/> : null} on={() => { f('`') }}>it's {/* don't */}\n import no from './no';\n </A>\n </>\n );\n}\n"
+     "import ok from './ok';\n", ["./ok"]),
+    ("const a = [<i key='`'>{x}'</i>, <A.B c=\"'\"/>];\nconst r = x as Array<string>;\nimport ok from './ok';\n", ["./ok"]),
+]
+
+
+def test_typescript_states(spark):
+    cases = [(f"src/a{i}.ts", *c) for i, c in enumerate(HARD_TS + HARD_TSX[1:2])] + [(f"src/b{i}.tsx", *c) for i, c in enumerate(HARD_TS + HARD_TSX)]
+    frame = spark.createDataFrame([c[:2] for c in cases], "path string, source string")
+    found = {}
+    for r in extract.ts_specifiers(frame).orderBy("path", "pos").collect():
+        found.setdefault(r.path, []).append(r.specifier)
+    assert found == {path: expected for path, _, expected in cases}
+
+
+def test_rust_nesting_has_no_bound(spark):
+    depths = (1, 33, 200, 1500)
+    sources = [(
+        f"src/d{depth}.rs",
+        "macro_rules! m " + "{" * depth + "\nfn hidden() {}\n" + "}" * depth + " fn a() {}\n"
+        + "/* \" " * depth + "fn no() {} don't\n" + "*/" * depth + " struct B;\n"
+        + "fn c(x: " + "[" * depth + "u8" + "; {1}]" * depth + ") { let s = r#\"/* \"fn no() {}\"#; }\n"
+        + "impl T" + "<A" * depth + ">" * depth + " for D {}\n",
+    ) for depth in depths]
+    found = extract.rust_items(spark.createDataFrame(sources, "path string, source string")).collect()
+    items = [("Function", "a", 3), ("Function", "c", 6), ("Impl", "D", 7), ("Struct", "B", 5)]
+    assert sorted((r.path, r.kind, r.name, r.line) for r in found) == sorted((p, *item) for p, _ in sources for item in items)
+
+
+def test_long_stateful_texts(spark, rows):
+    script = "const r = /'/;\n" + "const a = `x ${ `y` }`; b = c / 2; // it's\n" * 20_000 + "import z from './z';\n"
+    assert [r.specifier for r in extract.ts_specifiers(ts(spark, script)).collect()] == ["./z"]
+    code = "/* /* \" */ */\n" * 20_000 + "fn last() {}\n"
+    assert rows(extract.rust_items(rust(spark, code)), "name", "line") == [("last", 20_001)]

@@ -363,6 +363,22 @@ def ts_specifiers(t: Testbed) -> DataFrame:
     return extract.ts_specifiers(t.sources)
 
 
+@query("""
+    SELECT path, 0 AS pos, concat('./c', d) AS specifier FROM tb_texts WHERE lang <> 'en'
+    UNION ALL SELECT path, 1, concat('./e', d) FROM tb_texts WHERE lang <> 'en'
+    UNION ALL SELECT path, 2, concat('./g', d) FROM tb_texts WHERE lang <> 'en'
+    UNION ALL SELECT path, 3, concat('h', d) FROM tb_texts WHERE lang <> 'en'""")
+def ts_specifiers_states(t: Testbed) -> DataFrame:
+    return extract.ts_specifiers(t.hard_sources)
+
+
+@query("""
+    SELECT path, 'Function' AS kind, concat('seen_', d) AS name, CAST(3 + breaks AS INTEGER) AS line FROM tb_texts WHERE lang = 'en'
+    UNION ALL SELECT path, 'Impl', concat('Inner', d), CAST(4 + breaks AS INTEGER) FROM tb_texts WHERE lang = 'en'""")
+def rust_items_nested(t: Testbed) -> DataFrame:
+    return extract.rust_items(t.hard_sources)
+
+
 _MOD_EDGES = """
     SELECT path AS from_path, concat(dir, '/d', d, CASE WHEN quality = 1 THEN '/sub.rs' ELSE '/sub/mod.rs' END) AS to_path,
            'imports' AS kind, CAST(1.0 AS DOUBLE) AS confidence

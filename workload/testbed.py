@@ -140,6 +140,30 @@ VIEWS: dict[str, str] = {
             'import "node:fs";', chr(10),
             'const t = "import z from ''./zz''";', chr(10)) AS source
         FROM tb_texts a LEFT JOIN tb_texts b ON b.d = a.d + 1 WHERE a.lang <> 'en'""",
+    # what only a state machine can read: literals that hold quotes, templates in templates, markup, deep nesting
+    "tb_hard_sources": """
+        SELECT path, concat(
+            'const re', d, ' = /["''`]/;', chr(10),
+            'import c from "./c', d, '";', chr(10),
+            'const z = `a ${ `in ${x', d, '} ` + "}" } don''t', chr(10), 'import no from "./no', d, '";', chr(10),
+            replace(replace(replace(text, '`', ''), '$', ''), chr(92), ''), '`;', chr(10),
+            'export * from ''./e', d, ''';', chr(10),
+            'const half = n', d, ' / 2; // it''s a quotient', chr(10),
+            CASE tb_texts.lang WHEN 'es' THEN concat('const v = () => <p title="it''s">don''t `use` {f(`x`)}<b/>', chr(10),
+                'import no from "./text', d, '";</p>;', chr(10)) ELSE '' END,
+            'import type { G } from "./g', d, '"; export { h } from "h', d, '";', chr(10)) AS source
+        FROM tb_texts JOIN documents ON d = doc_id WHERE tb_texts.lang <> 'en'
+        UNION ALL
+        SELECT path, concat(
+            'macro_rules! m', d, ' ', repeat('{', CAST(1 + d % 200 AS INTEGER)), ' fn hidden_', d, '() {} ',
+            repeat('}', CAST(1 + d % 200 AS INTEGER)), chr(10),
+            repeat('/* " ', CAST(1 + d % 90 AS INTEGER)), replace(replace(text, '/*', ''), '*/', ''),
+            ' fn unseen_', d, '() {} ', repeat('don''t */', CAST(1 + d % 90 AS INTEGER)), chr(10),
+            'pub fn seen_', d, '(xs: ', repeat('[', CAST(1 + d % 70 AS INTEGER)), 'u8',
+            repeat('; {3}]', CAST(1 + d % 70 AS INTEGER)), ') -> u8 { 0 }', chr(10),
+            'impl Wrap', repeat('<A', CAST(1 + d % 120 AS INTEGER)), repeat('>', CAST(1 + d % 120 AS INTEGER)),
+            ' for Inner', d, ' {}', chr(10)) AS source
+        FROM tb_texts JOIN documents ON d = doc_id WHERE tb_texts.lang = 'en'""",
     "tb_code_files": """
         SELECT path FROM tb_texts
         UNION SELECT concat(dir, '/index.ts') FROM tb_texts WHERE lang <> 'en'
