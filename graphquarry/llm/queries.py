@@ -93,5 +93,49 @@ marked AS (SELECT doc_id, line, pos, first IS NOT NULL AND first <> doc_id AS go
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    # DuckDB has no crc32: the register is folded over the digits, bit by bit, without the final inversion
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE docs AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [1, 2, 3, 4, 5, 6, 7, 8]),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS altered
+  FROM (SELECT *, CASE WHEN crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS cut,
+          coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+          coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM docs)),
+placed AS (
+  SELECT *, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p,
+         count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes AS (
+  SELECT 0 AS lv, g, p, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT lv + 1, g, p // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY p)) FROM nodes WHERE n > 1 GROUP BY lv, g, p // 3, n),
+tops AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS lv, p, n, d FROM tops
+  UNION ALL
+  SELECT lv + 1, p // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY p)) FROM upper_nodes WHERE n > 1 GROUP BY lv, p // 3, n),
+beside AS (
+  SELECT lv, g, p, n, coalesce(lag(d, 2) OVER w, '') || coalesce(lag(d) OVER w, '') AS l, coalesce(lead(d) OVER w, '') || coalesce(lead(d, 2) OVER w, '') AS r
+  FROM nodes WINDOW w AS (PARTITION BY lv, g, p // 3 ORDER BY p)),
+upper_beside AS (
+  SELECT lv, p, n, coalesce(lag(d, 2) OVER w, '') || coalesce(lag(d) OVER w, '') AS l, coalesce(lead(d) OVER w, '') || coalesce(lead(d, 2) OVER w, '') AS r
+  FROM upper_nodes WINDOW w AS (PARTITION BY lv, p // 3 ORDER BY p)),
+climb AS (
+  SELECT doc_id, g, leaf, 0 AS lv, p, n, altered AS acc, '' AS siblings FROM placed
+  UNION ALL
+  SELECT doc_id, c.g, leaf, c.lv + 1, c.p // 3, (c.n + 2) // 3, sha256(l || acc || r), siblings || l || r
+  FROM climb c JOIN beside b ON b.lv = c.lv AND b.g = c.g AND b.p = c.p WHERE c.n > 1),
+climb_upper AS (
+  SELECT doc_id, leaf, t.d AS subroot, 0 AS lv, t.p AS p, t.n AS n, acc, siblings FROM climb c JOIN tops t USING (g) WHERE c.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, subroot, c.lv + 1, c.p // 3, (c.n + 2) // 3, sha256(l || acc || r), siblings || l || r
+  FROM climb_upper c JOIN upper_beside b ON b.lv = c.lv AND b.p = c.p WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM climb_upper, (SELECT d AS root FROM upper_nodes WHERE n = 1) WHERE n = 1
 """,
 }
