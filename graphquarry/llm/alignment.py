@@ -19,6 +19,7 @@ columns replace input columns of their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -37,7 +38,7 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Rows of the pair table that are sent to every task; a larger one is joined by its key.
 SENT_PAIRS = 1 << 20
-CACHED_PIECES = 150_000
+CACHED_PIECES = 250_000
 LINE_CHARS = 4000
 
 IDS = pa.list_(pa.int32())
@@ -49,6 +50,7 @@ LINKED = pa.struct([
 RESULT = tuple(f.name for f in LINKED)
 
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+_ENDS = ".,;:!?"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -74,10 +76,14 @@ class Spans:
     def groups(self) -> list[str]:
         """Each group as ``a1,a2|b1``."""
         a, b = list(map(str, self.a_ids.tolist())), list(map(str, self.b_ids.tolist()))
+        if len(a) == len(self.a_last) == len(b):
+            return list(map("|".join, zip(a, b, strict=True)))
         out, i, j = [], 0, 0
-        for x, y in zip(self.a_last.tolist(), self.b_last.tolist(), strict=True):
-            out.append(f"{a[x] if i == x else ','.join(a[i : x + 1])}|{b[y] if j == y else ','.join(b[j : y + 1])}")
-            i, j = x + 1, y + 1
+        for x, y in zip((self.a_last + 1).tolist(), (self.b_last + 1).tolist(), strict=True):
+            left = a[i] if x == i + 1 else ",".join(a[i:x])
+            right = b[j] if y == j + 1 else ",".join(b[j:y])
+            out.append(f"{left}|{right}")
+            i, j = x, y
         return out
 
 
@@ -124,6 +130,8 @@ class Aligner:
             and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
             and not any("▁" in p.lstrip("▁") for p in pieces)
         )
+        #: No token joins a letter and a mark behind it, so marks at the end of a piece are looked up by themselves.
+        self.marks_apart = self.separable and not any(a.isalpha() and b in _ENDS for p in pieces for a, b in zip(p, p[1:], strict=False))
         self.pieces = Pieces(self)
 
     def spans(self, text: str) -> Spans | None:
@@ -134,7 +142,7 @@ class Aligner:
         a_ids = np.array(found.ids, np.int64)
         if b"".join(map(self.a_bytes.__getitem__, found.ids)) != data:
             return None
-        stops = np.array([stop for _, stop in found.offsets], np.int64)
+        stops = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(a_ids))[1::2]
         if len(data) != len(spaced):  # characters to bytes
             starts = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
             stops = np.append(np.flatnonzero(starts), len(data))[stops]
@@ -159,11 +167,13 @@ class Aligner:
         """Sizes, groups and counted links of each text."""
         cut = [self.cut(t.decode()) if t else [] for t in texts]
         known = self.pieces
+        gc.disable()  # spans make many small tuples and no cycles
         known.learn(set(chain.from_iterable(cut)))
+        gc.enable()
         sizes = np.array(list(map(len, cut)), np.int64)
         at = np.fromiter(map(known.place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         row = np.repeat(np.arange(len(cut)), sizes)
-        n_a, n_b, n_groups, first = (np.array(x, np.int64) for x in (known.n_a, known.n_b, known.n_groups, known.first))
+        n_a, n_b, n_groups, first = map(known.column, ("n_a", "n_b", "n_groups", "first"))
         whole = np.ones(len(cut), bool)
         whole[row[n_a[at] == 0]] = False  # one piece that does not give back its bytes spoils the text
         totals = [np.bincount(row, n[at], len(cut)).astype(np.int64) * whole for n in (n_a, n_b, n_groups)]
@@ -175,8 +185,7 @@ class Aligner:
         ]
         at, row = at[whole[row]], row[whole[row]]
         every = n_groups[at]
-        skipped = np.cumsum(every) - every
-        pairs = known.all_pairs()[np.arange(every.sum()) - np.repeat(skipped - first[at], every)] if len(at) else np.zeros(0, np.int64)
+        pairs = known.column("pairs")[_ranges(first[at], every)]
         span = len(self.a_bytes) * len(self.b_bytes)
         keys, times = np.unique(np.repeat(row, every) * span + pairs, return_counts=True)
         ends = np.searchsorted(keys, np.arange(len(cut) + 1) * span).astype(np.int32)
@@ -187,55 +196,88 @@ class Aligner:
         return pa.StructArray.from_arrays([*map(pa.array, totals), pa.array(groups, pa.string()), links], fields=list(LINKED))
 
 
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``first[k]``, ``first[k] + 1``, … of all ranges, one after the other."""
+    skipped = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(skipped - first, sizes)
+
+
 class Pieces:
-    """Alignments of pieces, by place in parallel lists; what is not used between two turns is forgotten."""
+    """Alignments of pieces, by place in parallel columns; what is not used between two turns is forgotten."""
 
     def __init__(self, aligner: Aligner) -> None:
         self.aligner = aligner
         self.older: Pieces | None = None
-        self.place: dict[str, int] = {}
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
-        self.n_groups: list[int] = []
-        self.first: list[int] = []
+        self.place: dict[str | tuple[str], int] = {}
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.parts: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64)] for n in ("n_a", "n_b", "n_groups", "first", "pairs")}
         self.length = 0
 
-    def all_pairs(self) -> np.ndarray:
-        self.pairs = [np.concatenate(self.pairs)]
-        return self.pairs[0]
-
-    def add(self, piece: str, n_a: int, n_b: int, groups: list[str] | str, pairs: np.ndarray) -> None:
-        self.place[piece] = len(self.first)
-        self.n_a.append(n_a)
-        self.n_b.append(n_b)
-        self.n_groups.append(len(pairs))
-        self.first.append(self.length)
-        self.groups.append(groups if isinstance(groups, str) else ";".join(groups))
-        self.pairs.append(pairs)
+    def column(self, name: str) -> np.ndarray:
+        parts = self.parts[name]
+        if len(parts) > 1:
+            parts[:] = [np.concatenate(parts)]
+        return parts[0]
+
+    def add(self, pieces: list[str] | list[tuple[str]], n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, groups: list[str], pairs: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces)), strict=True))
+        self.groups += groups
+        first = self.length + np.cumsum(n_groups) - n_groups
+        for name, part in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("first", first), ("pairs", pairs)):
+            self.parts[name].append(part)
         self.length += len(pairs)
 
     def turn(self) -> None:
         if len(self.place) > CACHED_PIECES:
-            self.older = None
             old = Pieces(self.aligner)
-            old.__dict__.update(self.__dict__)
+            old.place, old.groups, old.parts, old.length = self.place, self.groups, self.parts, self.length
             self.__init__(self.aligner)
             self.older = old
 
     def learn(self, pieces: set[str]) -> None:
-        missing = pieces - self.place.keys()
+        missing = pieces.difference(self.place)
+        marked: dict[str, str] = {}
+        if self.aligner.marks_apart:
+            for piece in missing:
+                if piece[-1] in _ENDS:
+                    word = piece.rstrip(_ENDS)
+                    if word and word[-1].isalpha():
+                        marked[piece] = word
+            missing.difference_update(marked)
+            missing.update(w for w in marked.values() if w not in self.place)
         if self.older is not None:
-            old, held = self.older, self.older.all_pairs()
-            for piece in missing & old.place.keys():
-                k = old.place[piece]
-                self.add(piece, old.n_a[k], old.n_b[k], old.groups[k], held[old.first[k] : old.first[k] + old.n_groups[k]].copy())
-            missing -= old.place.keys()
+            old, again = self.older, [p for p in missing if p in self.older.place]
+            at = np.fromiter(map(old.place.__getitem__, again), np.int64, len(again))
+            n_groups = old.column("n_groups")[at]
+            self.add(again, old.column("n_a")[at], old.column("n_b")[at], n_groups, [old.groups[k] for k in at.tolist()],
+                     old.column("pairs")[_ranges(old.column("first")[at], n_groups)])
+            missing.difference_update(again)
+        self._learn_words(missing)
+        if marked:
+            self._learn_marked(marked)
+
+    def _learn_marked(self, marked: dict[str, str]) -> None:
+        """Words with marks behind them, put together of both."""
+        for marks in {p[len(w):] for p, w in marked.items()}:
+            if (marks,) not in self.place:  # as they stand behind a letter; its own group is left out
+                found = self.aligner.spans("a" + marks)
+                pairs = found.a_ids[found.a_last] * len(self.aligner.b_bytes) + found.b_ids[found.b_last]
+                one = np.ones(1, np.int64)
+                self.add([(marks,)], (len(found.a_ids) - 1) * one, (len(found.b_ids) - 1) * one, (len(pairs) - 1) * one, [";".join(found.groups()[1:])], pairs[1:])
+        words = np.fromiter((self.place[w] for w in marked.values()), np.int64, len(marked))
+        marks = np.fromiter((self.place[p[len(w):],] for p, w in marked.items()), np.int64, len(marked))
+        n_a, n_b, n_groups, first = map(self.column, ("n_a", "n_b", "n_groups", "first"))
+        good = n_a[words] > 0
+        both = np.stack([words, marks], 1)[good].ravel()
+        total = lambda n: np.where(good, n[words] + n[marks], 0)
+        groups = [f"{self.groups[w]};{self.groups[m]}" if ok else "" for w, m, ok in zip(words.tolist(), marks.tolist(), good.tolist(), strict=True)]
+        self.add(list(marked), total(n_a), total(n_b), total(n_groups), groups, self.column("pairs")[_ranges(first[both], n_groups[both])])
+
+    def _learn_words(self, missing: set[str]) -> None:
         line: list[str] = []
         size = 0
         for piece in missing:
-            if piece[:1].isspace() or piece[-1:] == " " or not self.aligner.separable:
+            if piece[0].isspace() or piece[-1] == " " or not self.aligner.separable:
                 self._learn_line([piece])
                 continue
             line.append(piece)
@@ -248,23 +290,23 @@ class Pieces:
 
     def _learn_line(self, line: list[str]) -> None:
         """Align pieces as one text; it is cut between them, as any text is."""
-        found = self.aligner.spans(" ".join(line))
+        text = " ".join(line)
+        found = self.aligner.spans(text)
         if found is None:
             if len(line) == 1:
-                self.add(line[0], 0, 0, "", np.zeros(0, np.int64))
+                none = np.zeros(1, np.int64)
+                self.add(line, none, none, none, [""], none[:0])
             else:
                 for piece in line:
                     self._learn_line([piece])
             return
-        stops = np.cumsum([1 + len(p.encode()) for p in line])
-        last = np.searchsorted(found.cuts, stops).tolist()  # every end of a piece is a common cut
-        groups = found.groups()
-        pairs = found.a_ids[found.a_last] * len(self.aligner.b_bytes) + found.b_ids[found.b_last]
-        a_last, b_last = found.a_last.tolist(), found.b_last.tolist()
-        g, a, b = 0, -1, -1
-        for piece, end in zip(line, last, strict=True):
-            self.add(piece, a_last[end] - a, b_last[end] - b, groups[g : end + 1], pairs[g : end + 1])
-            g, a, b = end + 1, a_last[end], b_last[end]
+        sizes = map(len, line) if text.isascii() else (len(p.encode()) for p in line)
+        stops = np.cumsum(np.fromiter(sizes, np.int64, len(line)) + 1)
+        last = np.searchsorted(found.cuts, stops)  # every end of a piece is a common cut
+        each, ends = found.groups(), (last + 1).tolist()
+        groups = [each[a] if b == a + 1 else ";".join(each[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        n_a, n_b, n_groups = (np.diff(x, prepend=-1) for x in (found.a_last[last], found.b_last[last], last))
+        self.add(line, n_a, n_b, n_groups, groups, found.a_ids[found.a_last] * len(self.aligner.b_bytes) + found.b_ids[found.b_last])
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
