@@ -10,6 +10,10 @@ from graphquarry.session import stored
 BLOCK_FILES = 2048
 #: Big commits sent to all tasks at most.
 SENT_COMMITS = 100_000
+#: Files whose pairs are counted first, for a least value of the greatest count.
+SEED_FILES = 500
+#: Files sent to all tasks at most.
+SENT_FILES = 100_000
 
 
 def cochange_pairs(changes: DataFrame, block_files: int = BLOCK_FILES) -> DataFrame:
@@ -22,8 +26,15 @@ def cochange_pairs(changes: DataFrame, block_files: int = BLOCK_FILES) -> DataFr
     both sides. Larger ones are cut into hashed blocks and every block pair joins under its own
     key, so a commit holding a third of all rows spreads over the cluster.
     """
+    return _counted_pairs(_listed(changes), block_files)
+
+
+def _listed(changes: DataFrame) -> DataFrame:
     listed = changes.groupBy("hash", "path").agg(F.count(F.lit(1)).alias("n"))
-    listed = stored(listed, "cochange-listed")
+    return stored(listed, "cochange-listed")
+
+
+def _counted_pairs(listed: DataFrame, block_files: int) -> DataFrame:
     big = stored(
         listed.groupBy("hash").agg(F.count(F.when(F.col("n") > 0, True)).alias("k"))
         .where(F.col("k") > block_files)
@@ -46,6 +57,43 @@ def cochange_pairs(changes: DataFrame, block_files: int = BLOCK_FILES) -> DataFr
     )
 
 
+def pair_bounds(listed: DataFrame) -> DataFrame:
+    """``(path, bound)``: no pair with the path counts more. A commit adds at most the path's own listings times the most of any path."""
+    most = stored(
+        listed.groupBy("hash").agg(F.max("n").alias("most")).where(F.col("most") > 1), "cochange-repeats"
+    )
+    n_most = most.count()
+    if n_most == 0:
+        placed = listed.withColumn("most", F.lit(1))
+    else:
+        placed = listed.join(F.broadcast(most) if n_most <= SENT_COMMITS else most, "hash", "left")
+    return placed.groupBy("path").agg(F.sum(F.col("n") * F.coalesce("most", F.lit(1))).alias("bound"))
+
+
+def strong_pairs(
+    changes: DataFrame, threshold: float, seed_files: int = SEED_FILES, block_files: int = BLOCK_FILES
+) -> DataFrame:
+    """``(file_a, file_b, count, confidence)`` of the pairs of at least ``threshold`` of the greatest count (H5, H6, V4).
+
+    The rows :func:`cochange_pairs` has at that confidence, without making the others. The exact counts among the
+    ``seed_files`` files of the highest bounds give a least value of the greatest count; a file whose own bound
+    is under ``threshold`` of that is in no such pair, so its rows drop out before commits join with themselves. The greatest
+    count itself is among the pairs that stay.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold is a share of the greatest count")
+    listed = _listed(changes)
+    bounds = stored(pair_bounds(listed), "cochange-bounds")
+    seeds = bounds.orderBy(F.desc("bound"), "path").limit(seed_files).select("path")
+    among = _counted_pairs(stored(listed.join(F.broadcast(seeds), "path", "left_semi"), "cochange-seeds"), block_files)
+    least = threshold * (among.agg(F.max("count")).first()[0] or 0)
+    strong = stored(bounds.where(F.col("bound") >= least).select("path"), "cochange-strong")
+    sent = F.broadcast(strong) if strong.count() <= SENT_FILES else strong
+    kept = stored(listed.join(sent, "path", "left_semi").select("hash", "path", "n"), "cochange-kept")
+    pairs = stored(_counted_pairs(kept, block_files), "cochange-pairs")
+    return cochange_confidence(pairs).where(F.col("confidence") >= threshold)
+
+
 def _side(rows: DataFrame, suffix: str, *rest: Column | str) -> DataFrame:
     return rows.select("hash", F.col("path").alias(suffix), F.col("n").alias(f"n_{suffix}"), *rest)
 

@@ -42,14 +42,15 @@ def new_entities(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def new_edges(rows: DataFrame) -> DataFrame:
-    """Complete ``(from_id, to_id, kind, confidence)`` rows to edges with constant evidence."""
+def new_edges(rows: DataFrame, *keep: str) -> DataFrame:
+    """Complete ``(from_id, to_id, kind, confidence)`` rows to edges with constant evidence (S8). ``keep`` names further columns to carry."""
     return rows.select(
         "from_id", "to_id", "kind", F.col("confidence").cast("double").alias("confidence"),
         F.current_timestamp().alias("last_evidence"),
         F.lit(EVIDENCE_COUNT).alias("evidence_count"),
         F.lit(DECAY_HALF_LIFE).alias("decay_half_life"),
         F.array().cast("array<string>").alias("evidence"),
+        *keep,
     )
 
 
@@ -132,3 +133,31 @@ def read_entities(spark: SparkSession, root: str) -> DataFrame:
 def read_edges(spark: SparkSession, root: str) -> DataFrame:
     """Edge table as stored; :func:`valid_edges` applies the load-time checks."""
     return spark.read.schema(EDGE).parquet(f"{root.rstrip('/')}/edges").select(*EDGE.names)
+
+
+def upsert_edges(spark: SparkSession, root: str, writes: DataFrame, *seq: str) -> list[str]:
+    """Merge edge ``writes`` into the stored edge table and return the kinds it rewrote.
+
+    A write replaces the stored edge of its ``(from_id, to_id, kind)``; among writes of one edge the greatest ``seq`` stands.
+    Edges are stored by kind, and only kinds that occur in the writes are read and overwritten: their new
+    rows are complete in the scratch folder before the first old file goes, and other kinds' files stay as they are.
+    Unknown kinds, null ends included, are an error, since no later reader would find them.
+    """
+    fresh = last_write_wins(new_edges(writes, *[c for c in seq if c not in EDGE.names]), *seq)
+    held = scratch_path(spark, "upsert-writes")
+    fresh.select(*EDGE.names).write.parquet(held)
+    fresh = spark.read.schema(EDGE).parquet(held)
+    touched = sorted(str(r["kind"]) for r in fresh.select("kind").distinct().limit(len(EDGE_KINDS) + 1).collect())
+    unknown = [k for k in touched if k not in EDGE_KINDS]
+    if unknown or not fresh.where("from_id IS NULL OR to_id IS NULL").isEmpty():
+        raise ValueError(f"edges of unknown kinds or without an end: {unknown}")
+    if not touched:
+        return []
+    base = f"{root.rstrip('/')}/edges"
+    old = read_edges(spark, root).where(F.col("kind").isin(*touched))
+    stay = old.join(fresh.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti").select(*EDGE.names)
+    merged = scratch_path(spark, "upsert-merged")
+    stay.unionByName(fresh).hint("rebalance", "kind").write.parquet(merged)
+    laid = spark.read.schema(EDGE).parquet(merged).hint("rebalance", "kind").sortWithinPartitions("kind", "from_id")
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(base)
+    return touched

@@ -11,7 +11,7 @@ from graphquarry import CodeGraph
 from graphquarry.operators import blast, cochange, extract, neighbors, ownership, resolve
 from graphquarry.plans import index, report, requests
 from graphquarry.plans.report import Report, blast_size, link_degree, symmetric_adjacency
-from graphquarry.schemas import EDGE_KINDS, REPORT_LINK_KINDS, STRUCTURAL_KINDS
+from graphquarry.schemas import COCHANGE_REPORT_THRESHOLD, EDGE_KINDS, REPORT_LINK_KINDS, STRUCTURAL_KINDS
 from graphquarry.session import checkpointed, scratch_path
 from graphquarry.sources import commit_log, source_tree, tables
 from graphquarry.streaming.requests import answer_stream
@@ -30,6 +30,12 @@ _RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(STR
 _KIND = "CASE rank % 6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(STRUCTURAL_KINDS)) + " END"
 
 SQL_VIEWS = VIEWS | {
+    "sql_writes": """
+        SELECT concat('f:', l_partkey) AS from_id, concat('d:', l_suppkey) AS to_id,
+               CASE l_returnflag WHEN 'A' THEN 'imports' ELSE 'calls' END AS kind, l_discount AS confidence,
+               row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag
+                                  ORDER BY l_orderkey DESC, l_linenumber DESC, l_discount DESC) AS latest
+        FROM lineitem WHERE l_returnflag <> 'N'""",
     "sql_degree": """
         SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM tb_edges UNION ALL SELECT to_id FROM tb_edges)
         GROUP BY id""",
@@ -238,6 +244,23 @@ def edge_upsert_last_wins(t: Testbed) -> DataFrame:
     return tables.last_write_wins(writes, "l_orderkey", "l_linenumber")
 
 
+@query("""
+    SELECT from_id, to_id, kind, confidence FROM sql_writes WHERE latest = 1
+    UNION ALL SELECT from_id, to_id, kind, confidence FROM tb_edges e
+    WHERE NOT EXISTS (SELECT 1 FROM sql_writes w WHERE w.from_id = e.from_id AND w.to_id = e.to_id AND w.kind = e.kind)""")
+def edge_upsert_stored(t: Testbed) -> DataFrame:
+    """Writes merged into a stored edge table, of which only the kinds written to are rewritten."""
+    root = scratch_path(t.spark, "upsert-graph")
+    tables.write_graph(tables.new_entities(t.entities), tables.new_edges(t.edges), root)
+    kind = F.when(F.col("l_returnflag") == "A", "imports").otherwise("calls")
+    writes = t.table("lineitem").where("l_returnflag <> 'N'").select(
+        F.concat(F.lit("f:"), "l_partkey").alias("from_id"), F.concat(F.lit("d:"), "l_suppkey").alias("to_id"),
+        kind.alias("kind"), F.col("l_discount").alias("confidence"), "l_orderkey", "l_linenumber",
+    )
+    tables.upsert_edges(t.spark, root, writes, "l_orderkey", "l_linenumber")
+    return tables.read_edges(t.spark, root).select("from_id", "to_id", "kind", "confidence")
+
+
 @query("""
     SELECT sha256(concat('=', kind, '|', CASE WHEN path IS NULL THEN '-' ELSE concat('=', path) END, '|=', name, '|0')) AS id, kind, name, path, language,
            '{}' AS metadata FROM tb_entities""")
@@ -764,6 +787,18 @@ def cochange_links(t: Testbed) -> DataFrame:
     return report.cochange_links(_report_links(t)[1])
 
 
+@query("SELECT source, target, confidence FROM sql_pair_links")
+def cochange_links_mined(t: Testbed) -> DataFrame:
+    """The report's co-change links from pairs that reach the threshold only."""
+    strong = cochange.strong_pairs(t.changes, COCHANGE_REPORT_THRESHOLD)
+    return report.cochange_links(report.indexed_links(cochange.cochange_edges(strong, t.entities), report.file_table(t.entities)))
+
+
+@query("SELECT * FROM sql_scored WHERE confidence >= 0.6")
+def cochange_strong_pairs(t: Testbed) -> DataFrame:
+    return cochange.strong_pairs(t.changes, 0.6)
+
+
 @query("SELECT idx, degree FROM sql_link_degree")
 def report_degree(t: Testbed) -> DataFrame:
     return link_degree(_report_links(t)[1])
