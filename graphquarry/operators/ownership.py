@@ -35,6 +35,29 @@ def blamed_from_dumps(dumps: DataFrame) -> DataFrame:
     return _by_commit(facts)
 
 
+def blamed_from_records(records: DataFrame) -> DataFrame:
+    """``(path, author, email, line_count)`` from ``(path, record)`` parts of dumps in any order, by commit (H8).
+
+    Every header announces one line and names its commit; the first header of a commit names the author. So counts by
+    (file, commit) need neither order nor whole files, and combine before they are shuffled. A record's first
+    line is content, whatever it looks like, except in a file's first record, which is a full header.
+    """
+    record = F.col("record")
+    opens = record.rlike(SHA) & record.rlike(r"\nauthor ")
+    rest = F.when(F.contains(record, F.lit("\n")), F.regexp_extract(record, r"(?s)^[^\n]*\n(.*)$", 1)).otherwise("")
+    heads = records.where(~F.col("path").startswith("-")).select(
+        "path", F.when(opens & ~rest.rlike("(?m)" + SHA), record).otherwise(rest).alias("head")
+    )
+    facts = heads.select(
+        "path",
+        F.regexp_extract("head", SHA, 1).alias("sha"),
+        F.nullif(F.regexp_extract("head", r"(?m)^author (.*)$", 1), F.lit("")).alias("author"),
+        F.nullif(_mail(F.regexp_extract("head", r"(?m)^author-mail (.*)$", 1)), F.lit("")).alias("email"),
+        F.lit(1).cast("bigint").alias("n"),
+    ).where("sha <> ''")
+    return _by_commit(facts)
+
+
 def blamed_lines(lines: DataFrame, mode: str = "by_commit", chunk: int = FILL_CHUNK) -> DataFrame:
     """``(path, author, email, line_count)`` from dump lines ``(path, pos, line)`` (H8).
 

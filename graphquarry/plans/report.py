@@ -10,7 +10,7 @@ from graphquarry.functions import paths
 from graphquarry.operators import blast
 from graphquarry.operators.ordered import dense_index
 from graphquarry.schemas import COCHANGE_REPORT_THRESHOLD, REPORT_LINK_KINDS
-from graphquarry.session import checkpointed
+from graphquarry.session import checkpointed, stored
 
 # Report depths and list lengths.
 BLAST_DEPTH = 3
@@ -18,6 +18,8 @@ TOP_HOTSPOTS = 10
 TOP_CONTRIBUTORS = 8
 TOP_PARTNERS = 6
 LIST_CHUNK = 4096
+#: Logarithm of the registers of one sketch: 4,096 registers, 1.6 % standard error.
+SKETCH_BITS = 12
 
 
 def file_table(entities: DataFrame) -> DataFrame:
@@ -94,6 +96,24 @@ def blast_size(files: DataFrame, reached: DataFrame) -> DataFrame:
     return files.select("idx").join(sizes, "idx", "left").select("idx", F.coalesce("blast", F.lit(0)).alias("blast"))
 
 
+def blast_size_estimate(files: DataFrame, links: DataFrame, depth: int = BLAST_DEPTH, precision: int = SKETCH_BITS) -> DataFrame:
+    """``(idx, blast)``: :func:`blast_size` to within a few per cent, without the table of all reached pairs.
+
+    Every file starts with a sketch of itself; each hop unites the sketches of a file and its neighbours. A hop moves one
+    sketch per link, of a size that ``precision`` bounds, where exact sets move every pair: a hub with d links makes d sketches
+    to unite, not d squared pairs. The relative standard error is about 1.04 / sqrt(2 ** precision), and small sets are exact.
+    """
+    beside = stored(symmetric_adjacency(struct_links(links)).distinct(), "estimate-links")
+    own = files.select("idx").groupBy("idx").agg(F.hll_sketch_agg("idx", precision).alias("reach"))
+    for hop in range(depth):
+        known = stored(own, "estimate-sketches")
+        moved = beside.join(known.select(F.col("idx").alias("next"), "reach"), "next").select(F.col("node").alias("idx"), "reach")
+        own = known.unionByName(moved).groupBy("idx").agg(F.hll_union_agg("reach").alias("reach"))
+    # a file is part of its own sketch
+    sizes = own.select("idx", F.greatest(F.hll_sketch_estimate("reach") - 1, F.lit(0)).alias("blast"))
+    return files.select("idx").join(sizes, "idx", "left").select("idx", F.coalesce("blast", F.lit(0)).alias("blast"))
+
+
 def owner_ranks(owner_of: DataFrame) -> DataFrame:
     """``(owner_idx, owner, files)``: most files first (V8)."""
     counts = owner_of.groupBy("owner").agg(F.count(F.lit(1)).alias("files"))

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphquarry.operators import cochange
-from graphquarry.sources import source_tree, tables
+from graphquarry.operators import cochange, ownership
+from graphquarry.plans import report
+from graphquarry.sources import blame, source_tree, tables
 
 EDGES = "from_id string, to_id string, kind string, confidence double"
 NODES = "kind string, name string, path string, language string"
@@ -122,3 +123,50 @@ def test_strong_pairs_of_no_changes(spark):
     assert cochange.strong_pairs(spark.createDataFrame([], "hash string, path string"), 0.25).collect() == []
     with pytest.raises(ValueError, match="share"):
         cochange.strong_pairs(spark.createDataFrame([], "hash string, path string"), 2.0)
+
+
+def blame_dump(rng, lines, commits):
+    """A porcelain dump; a commit is described where it first occurs, and contents may look like headers."""
+    out, seen, want = "", set(), {}
+    for i in range(1, lines + 1):
+        k = rng.randrange(commits)
+        sha, author, mail = f"{k + 10:x}" * 40, f"Author {k % 3}", f"a{k % 3}@example.com"
+        out += f"{sha} {i} {i} 1\n"
+        if sha not in seen:
+            seen.add(sha)
+            out += f"author {author}\nauthor-mail <{mail}>\nauthor-time 1\nsummary author nobody\nfilename f\n"
+        content = rng.choice(["let x = 1;", "", f"{'ab' * 20} 1 1 1", "author nobody", "\tindented", "author-mail <x@y>"])
+        out += f"\t{content}\n"
+        want[author, mail] = want.get((author, mail), 0) + 1
+    return out, [(a, m, n) for (a, m), n in want.items()]
+
+
+def test_blame_records_need_no_order_and_split(spark, tmp_path, rows):
+    rng = random.Random(8)
+    want = []
+    for name, lines, commits in (("src/a.rs", 4000, 6), ("one.rs", 1, 1), ("src/deep/b.ts", 200, 3)):
+        dump, owners = blame_dump(rng, lines, commits)
+        path = tmp_path / "blame" / f"{name}.blame"
+        os.makedirs(path.parent, exist_ok=True)
+        path.write_text(dump)
+        want += [(name, *o) for o in owners]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        records = blame.read_blame_records(spark, str(tmp_path / "blame"))
+        assert records.rdd.getNumPartitions() > 5
+        found = rows(ownership.blamed_from_records(records.orderBy(F.rand(3))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted(want, key=repr) == rows(ownership.blamed_from_dumps(blame.read_blame_dumps(spark, str(tmp_path / "blame"))))
+
+
+def test_sketched_sizes_make_no_pairs(spark):
+    hub = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(3001, 3040)]
+    files = spark.createDataFrame([(i,) for i in range(3041)], "idx long")
+    links = spark.createDataFrame([("imports", a, b) for a, b in hub], "kind string, source long, target long")
+    plan = report.blast_size_estimate(files, links)
+    got = {r.idx: r.blast for r in plan.collect()}
+    assert all(abs(got[i] - 3000) < 300 for i in range(3001))
+    assert [got[i] for i in (3001, 3010, 3040)] == [3, 6, 3]
+    assert report.blast_size_estimate(files.limit(0), links.limit(0)).collect() == []

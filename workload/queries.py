@@ -827,6 +827,18 @@ def blast_all_sources_size(t: Testbed) -> DataFrame:
     return blast_size(files, report.all_sources_blast(files, links))
 
 
+@query("""
+    SELECT idx, coalesce(n, 0) AS blast, true AS close FROM sql_indexed
+    LEFT JOIN (SELECT source AS idx, count(*) AS n FROM sql_blast GROUP BY source) USING (idx)""")
+def blast_all_sources_estimate(t: Testbed) -> DataFrame:
+    """Sizes by sketches beside the exact ones: within a tenth, or one file."""
+    files, links = _struct_links(t)
+    exact = blast_size(files, report.all_sources_blast(files, links))
+    guessed = report.blast_size_estimate(files, links).withColumnRenamed("blast", "estimate")
+    close = F.abs(F.col("estimate") - F.col("blast")) <= F.greatest(F.lit(1.0), F.col("blast") * 0.1)
+    return exact.join(guessed, "idx").select("idx", "blast", close.alias("close"))
+
+
 @query("SELECT idx, label, path, degree FROM sql_nodes ORDER BY degree DESC, path LIMIT 10")
 def report_hotspots(t: Testbed) -> DataFrame:
     return _report(t).hotspots()
