@@ -13,6 +13,7 @@ from graphquarry.session import stored
 
 # The tools and the texts their answers use.
 TOOLS = ("blast_radius", "dependencies", "co_changes", "who_owns", "hotspots")
+ONE_HOP = ("dependencies", "co_changes", "who_owns")
 TOO_LARGE = "Request too large"
 BAD_JSON = "Invalid JSON in request"
 NO_ENTITY = "missing required param: entity"
@@ -88,12 +89,8 @@ def validated(requests: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     )
 
 
-def _one_hop(asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """Dependencies, co-changes and owners in one join on (tool, entity, direction).
-
-    Equal questions are asked once; requests without an entity keep out of the join, where their
-    missing keys would meet in one task.
-    """
+def one_hop_edges(edges: DataFrame) -> DataFrame:
+    """``(tool, id, far, out, edge_kind, confidence)``: every edge from each end that a one-hop tool asks about."""
     group = F.when(F.col("kind").isin(*STRUCTURAL_KINDS), "dependencies").when(
         F.col("kind") == "co_changes_with", "co_changes").when(F.col("kind") == "owned_by", "who_owns")
     used = edges.where(F.col("kind").isin(*STRUCTURAL_KINDS, "co_changes_with", "owned_by"))
@@ -105,9 +102,21 @@ def _one_hop(asked: DataFrame, edges: DataFrame) -> DataFrame:
         group.alias("tool"), "kind", F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
         F.explode(ways).alias("w"),
     ).where("w.out OR tool = 'dependencies'")
-    hops = hops.select("tool", "w.id", "w.far", "w.out", F.col("kind").alias("edge_kind"), "confidence")
-    out = (F.col("tool") != "dependencies") | (F.col("direction") != "upstream")
-    calls = asked.where(F.col("tool").isin("dependencies", "co_changes", "who_owns")).withColumn("out", out)
+    return hops.select("tool", "w.id", "w.far", "w.out", F.col("kind").alias("edge_kind"), "confidence")
+
+
+def _outgoing() -> Column:
+    return (F.col("tool") != "dependencies") | (F.col("direction") != "upstream")
+
+
+def _one_hop(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Dependencies, co-changes and owners in one join on (tool, entity, direction).
+
+    Equal questions are asked once; requests without an entity keep out of the join, where their
+    missing keys would meet in one task.
+    """
+    hops = one_hop_edges(edges)
+    calls = asked.where(F.col("tool").isin(*ONE_HOP)).withColumn("out", _outgoing())
     questions = stored(calls.where("id IS NOT NULL").select("tool", "id", "out").distinct(), "requests-hops")
     found = stored(hops.join(questions, ["tool", "id", "out"], "left_semi"), "requests-edges")
     known = calls.where("id IS NOT NULL").join(found, ["tool", "id", "out"], "left")
@@ -163,6 +172,22 @@ def _hotspots(asked: DataFrame, ranking: DataFrame | None) -> DataFrame | None:
     )
 
 
+def _nothing() -> Column:
+    """The message of a request that has no result."""
+    quoted = F.concat(F.lit("'"), F.col("entity"), F.lit("'"))
+    return (
+        F.when(F.col("tool") == "blast_radius", F.concat(F.lit("No blast radius results for "), quoted))
+        .when(F.col("tool") == "co_changes", F.concat(F.lit("No co-change data for "), quoted))
+        .when(F.col("tool") == "who_owns", F.concat(F.lit("No ownership data for "), quoted))
+        .when(F.col("id").isNull(), F.concat(F.lit("Entity not found: "), F.col("entity")))
+        .otherwise(F.concat(F.lit("No "), F.col("direction"), F.lit(" dependencies for "), quoted))
+    )
+
+
+def _shown() -> Column:
+    return F.when(F.col("tool") == "who_owns", F.col("name")).otherwise(neighbors.display_key())
+
+
 class Prepared:
     """What all batches of requests share: entity and path tables, adjacency, and the ranking once it is asked for."""
 
@@ -220,17 +245,10 @@ def answer(
         near = near.unionByName(_blast(asked, ready.graph()))
     near = stored(near, "requests-near")
     graph_rows = near.where("far IS NOT NULL").join(far, "far").unionByName(near.where("far IS NULL"), allowMissingColumns=True)
-    shown = F.when(F.col("tool") == "who_owns", F.col("name")).otherwise(neighbors.display_key())
+    shown = _shown()
     detail = F.when(F.col("tool") == "dependencies", F.col("far_kind")).when(
         F.col("tool") == "blast_radius", F.col("edge_kind"))
-    quoted = F.concat(F.lit("'"), F.col("entity"), F.lit("'"))
-    nothing = (
-        F.when(F.col("tool") == "blast_radius", F.concat(F.lit("No blast radius results for "), quoted))
-        .when(F.col("tool") == "co_changes", F.concat(F.lit("No co-change data for "), quoted))
-        .when(F.col("tool") == "who_owns", F.concat(F.lit("No ownership data for "), quoted))
-        .when(F.col("id").isNull(), F.concat(F.lit("Entity not found: "), F.col("entity")))
-        .otherwise(F.concat(F.lit("No "), F.col("direction"), F.lit(" dependencies for "), quoted))
-    )
+    nothing = _nothing()
     found = F.col("far").isNotNull()
     answered = graph_rows.select(
         "request_id", "tool",
@@ -254,3 +272,33 @@ def answer(
         F.col("error").alias("message"),
     )
     return answered.unionByName(hot).unionByName(failed)
+
+
+def one_hop_table(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(tool, id, out, result, detail, value)``: what each one-hop question finds, stored once for all requests to come."""
+    far = entities.select(F.col("id").alias("far"), F.col("kind").alias("far_kind"), "name", "path")
+    structural = F.col("tool") == "dependencies"
+    return stored(
+        one_hop_edges(edges).join(far, "far").select(
+            "tool", "id", "out", _shown().alias("result"), F.when(structural, F.col("far_kind")).alias("detail"),
+            F.when(~structural, F.col("confidence")).alias("value"),
+        ),
+        "requests-one-hop",
+    )
+
+
+def one_hop_answers(requests: DataFrame, ids: DataFrame, found: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """:func:`answer` for requests of one-hop tools and unknown ones, by outer joins with stored tables only.
+
+    ``requests`` may be a stream: rows come and go one by one, without state. ``ids`` is :attr:`Prepared.ids`, ``found`` is
+    :func:`one_hop_table`. Requests that cannot match get keys of their own, so that they do not meet in one task.
+    """
+    alone = lambda key: F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64("request_id").cast("string")))
+    checked = validated(requests, bounds).withColumn("key", alone(F.when(F.col("error").isNull(), F.col("entity"))))
+    placed = checked.join(ids.withColumnRenamed("entity", "key"), "key", "left").withColumns({"out": _outgoing(), "at": alone(F.col("id"))})
+    met = placed.join(found.withColumnRenamed("id", "at"), ["tool", "at", "out"], "left")
+    failed, hit = F.col("error").isNotNull(), F.col("result").isNotNull()
+    return met.select(
+        "request_id", "tool", F.when(failed, "error").when(hit, "ok").otherwise("empty").alias("status"), "result", "detail", "value",
+        F.lit(None).cast("int").alias("rank"), F.when(failed, F.col("error")).when(~hit, _nothing()).alias("message"),
+    )

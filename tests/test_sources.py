@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphquarry.operators import cochange, ownership
-from graphquarry.plans import report
+from graphquarry.plans import report, requests
+from graphquarry.schemas import REQUEST
 from graphquarry.sources import blame, source_tree, tables
+from graphquarry.streaming.requests import answer_streams
 
 EDGES = "from_id string, to_id string, kind string, confidence double"
 NODES = "kind string, name string, path string, language string"
@@ -170,3 +172,24 @@ def test_sketched_sizes_make_no_pairs(spark):
     assert all(abs(got[i] - 3000) < 300 for i in range(3001))
     assert [got[i] for i in (3001, 3010, 3040)] == [3, 6, 3]
     assert report.blast_size_estimate(files.limit(0), links.limit(0)).collect() == []
+
+
+def test_one_hop_stream_joins_stored_answers(spark, tmp_path):
+    entities = spark.createDataFrame(
+        [("a", "File", "a.rs", "src/a.rs", "rust"), ("b", "File", "b.rs", "src/b.rs", "rust"), ("p", "Person", "Pat", "p@x", "")], "id string, " + NODES)
+    edges = spark.createDataFrame([("a", "b", "imports", 1.0), ("a", "p", "owned_by", 0.5), ("a", "b", "co_changes_with", None)], EDGES)
+    asked = [(str(i), tool, entity, None, way, None) for i, (tool, entity, way) in enumerate(
+        [("dependencies", "src/a.rs", None), ("dependencies", "src/b.rs", "upstream"), ("who_owns", "src/a.rs", None), ("co_changes", "src/b.rs", None),
+         ("dependencies", "src/none.rs", None), ("who_owns", None, None), ("co_changes", "../x", None), ("sing", "src/a.rs", None), (None, None, None)])]
+    rows = spark.createDataFrame(asked, REQUEST)
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(REQUEST).parquet(f"{tmp_path}/in")
+    prepared = requests.Prepared(entities, edges)
+    answered = requests.one_hop_answers(stream, prepared.ids, requests.one_hop_table(entities, edges))
+    plan = answered._jdf.queryExecution().analyzed().toString()
+    assert answered.isStreaming and plan.count("Join LeftOuter") == 2 and "StreamingRelation" in plan
+    for running in answer_streams(stream, entities, edges, f"{tmp_path}/out", f"{tmp_path}/progress"):
+        running.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/one-hop").collect()), key=repr)
+    assert got == sorted(map(tuple, requests.answer(rows, entities, edges).collect()), key=repr)
+    assert len(got) == len(asked) and not os.path.exists(f"{tmp_path}/progress/one-hop-batch")

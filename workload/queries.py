@@ -14,7 +14,7 @@ from graphquarry.plans.report import Report, blast_size, link_degree, symmetric_
 from graphquarry.schemas import COCHANGE_REPORT_THRESHOLD, EDGE_KINDS, REPORT_LINK_KINDS, STRUCTURAL_KINDS
 from graphquarry.session import checkpointed, scratch_path
 from graphquarry.sources import commit_log, source_tree, tables
-from graphquarry.streaming.requests import answer_stream
+from graphquarry.streaming.requests import answer_stream, answer_streams
 from workload.testbed import VIEWS, Testbed, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -939,9 +939,8 @@ def batch_requests(t: Testbed) -> DataFrame:
     return _answers(requests.answer(t.requests, t.entities, _graph(t)))
 
 
-@query("SELECT * FROM sql_answers")
-def stream_requests(t: Testbed) -> DataFrame:
-    """The same requests as a stream of event files, answered micro-batch by micro-batch."""
+def _asked_stream(t: Testbed) -> DataFrame:
+    """The testbed's requests as a stream of event files."""
     schema = t.table("events").schema
     events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     user, value = F.col("user_id"), F.col("value")
@@ -952,7 +951,7 @@ def stream_requests(t: Testbed) -> DataFrame:
         .otherwise(F.col("event_type"))
     )
     named = events.join(t.files.select(F.col("k").alias("user_id"), "path"), "user_id", "left")
-    asked = named.select(
+    return named.select(
         F.col("event_id").cast("string").alias("request_id"), tool.alias("tool"),
         F.when(value < 3, None).when(value < 5, F.concat(F.lit("../"), user))
         .when(value < 8, F.concat(F.lit("missing/"), user)).otherwise(F.col("path")).alias("entity"),
@@ -960,6 +959,22 @@ def stream_requests(t: Testbed) -> DataFrame:
         F.when(value > 30, "upstream").alias("direction"),
         F.when(value >= 10, F.floor(value * 20)).alias("limit"),
     )
+
+
+@query("SELECT * FROM sql_answers")
+def stream_requests(t: Testbed) -> DataFrame:
+    """The same requests as a stream of event files, answered micro-batch by micro-batch."""
+    asked = _asked_stream(t)
     sink, progress = scratch_path(t.spark, "answers"), scratch_path(t.spark, "progress")
     answer_stream(asked, t.entities, _graph(t), sink, progress).awaitTermination()
     return _answers(t.spark.read.parquet(sink))
+
+
+@query("SELECT * FROM sql_answers")
+def stream_requests_joined(t: Testbed) -> DataFrame:
+    """One-hop requests joined as a stream with stored answers, the others by micro-batch."""
+    sink, progress = scratch_path(t.spark, "answers"), scratch_path(t.spark, "progress")
+    for running in answer_streams(_asked_stream(t), t.entities, _graph(t), sink, progress):
+        running.awaitTermination()
+    near, far = (t.spark.read.parquet(f"{sink}/{part}") for part in ("one-hop", "reach"))
+    return _answers(near.unionByName(far.drop("batch")))
