@@ -66,9 +66,17 @@ def _fold(text: Column, atom: Callable[[str], Column], first: Column, step: Call
     return F.aggregate(chunks, zero, chunk, lambda s: F.array_join(s["out"], ""))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
 def _move(mode: str, context: str = "", start: int | Column = -1, say: str | Column = "", condition: Column | None = None) -> Column:
     """One transition. ``context``: ``-`` leaves the innermost, another character enters it. ``start``: whether an expression
     may follow, -1 for as before. ``say``: ``atom`` keeps the atom, anything else is kept instead."""
+    if isinstance(start, int) and isinstance(say, str) and condition is None:  # one call into the JVM, not a dozen
+        return F.expr(
+            f"named_struct('mode', {_quoted(mode)}, 'context', {_quoted(context)}, 'start', {start}, 'say', {_quoted(say)}, 'condition', false)"
+        )
     start = F.lit(start) if isinstance(start, int) else start
     return F.struct(
         F.lit(mode).alias("mode"), F.lit(context).alias("context"), start.cast("int").alias("start"),

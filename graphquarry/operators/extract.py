@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphquarry.functions import paths, text
@@ -16,13 +17,42 @@ from graphquarry.functions import paths, text
 ITEM_KINDS = ("Function", "Struct", "Trait", "Impl")
 
 
+def _once(make: Callable[[], Column]) -> Callable[[], Column]:
+    """A column over ``path`` and ``source`` that is put together once per JVM: large ones take seconds, mostly calls into it."""
+    held: dict[str, object] = {}
+
+    def column() -> Column:
+        if held.get("jvm") is not SparkContext._jvm:
+            held.update(jvm=SparkContext._jvm, column=make())
+        return held["column"]
+
+    return column
+
+
+@_once
+def _rust_text() -> Column:
+    return text.clean_rust(F.col("source"))
+
+
+@_once
+def _typescript_text() -> Column:
+    return text.clean_typescript(F.col("source"), F.col("path").endswith(".tsx"))
+
+
+@_once
+def _all_facts() -> Column:
+    itself = F.array(text.fact(F.lit("file"), F.lit(0), paths.basename(F.col("path")), F.lit(None)))
+    rust = text.let(_rust_text(), text.rust_facts)
+    found = F.when(F.col("path").endswith(".rs"), rust).otherwise(text.ts_facts(_typescript_text()))
+    return F.concat(itself, found)
+
+
 def _explode(files: DataFrame, found: Column) -> DataFrame:
     return files.select("path", F.explode(found).alias("f")).select("path", "f.*")
 
 
 def _rust(files: DataFrame, found: Callable[[Column], Column]) -> DataFrame:
-    rust = files.where(F.col("path").endswith(".rs"))
-    return _explode(rust, found(text.clean_rust(F.col("source"))))
+    return _explode(files.where(F.col("path").endswith(".rs")), found(_rust_text()))
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -30,11 +60,7 @@ def facts(files: DataFrame) -> DataFrame:
 
     Each file also yields one row of fact ``file``, so the text need not be read again to list it.
     """
-    itself = F.array(text.fact(F.lit("file"), F.lit(0), paths.basename(F.col("path")), F.lit(None)))
-    rust = text.let(text.clean_rust(F.col("source")), text.rust_facts)
-    script = text.ts_facts(text.clean_typescript(F.col("source"), F.col("path").endswith(".tsx")))
-    found = F.when(F.col("path").endswith(".rs"), rust).otherwise(script)
-    return _explode(files, F.concat(itself, found))
+    return _explode(files, _all_facts())
 
 
 def files_of(found: DataFrame) -> DataFrame:
@@ -76,8 +102,7 @@ def rust_mods(files: DataFrame) -> DataFrame:
 def ts_specifiers(files: DataFrame) -> DataFrame:
     """``(path, pos, specifier)`` of every TypeScript import or re-export with a source."""
     scripts = files.where(F.col("path").rlike(r"\.tsx?$"))
-    clean = text.clean_typescript(F.col("source"), F.col("path").endswith(".tsx"))
-    return specifiers_of(_explode(scripts, text.ts_facts(clean)))
+    return specifiers_of(_explode(scripts, text.ts_facts(_typescript_text())))
 
 
 def item_entities(items: DataFrame) -> DataFrame:
