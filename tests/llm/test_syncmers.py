@@ -93,3 +93,36 @@ def test_unspaced_scripts_and_scattered_edits_keep_anchors(spark):
     words = [f"w{rng.randrange(10**5)}ord{rng.randrange(10**5)}" for _ in range(180)]
     edited = ["other" if i % 9 == 4 else w for i, w in enumerate(words)]
     assert near(spark, " ".join(words), " ".join(edited)) > 0.4
+
+
+def test_query_equals_anchors_of_whole_texts(spark, tmp_path, monkeypatch):
+    """The shared pass over own, edited and next text against each of them taken by itself."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeΣσİß日 \n") for _ in range(rng.randrange(1, 9)))
+    rows = [(i * 5 % 83, " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 12, 30, 90])))) for i in range(80)]
+    rows += [(200, "x" * 5000), (201, None), (None, "ΟΔΟΣ " * 40)] + [(300, "some repeated row of an id " * 3)] * 3
+    rows += [(301, f"text {word()} of a shared id number {i} " * 4) for i in range(7)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(S, "BLOCK", 3)
+    out = S.query(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    low = lambda i: -1 if i is None else i
+    stands = {}
+    for i, t in rows:
+        stands[low(i)] = min(stands.get(low(i), t or ""), t or "")
+    ids = sorted(stands)
+    follows = {a: stands[b] for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+    cases = []
+    for i, t in rows:
+        t, after = t or "", follows[low(i)]
+        cases.append((i, t, t[: len(t) - len(t) // 4] + after[: len(t) // 4], after))
+    df = spark.createDataFrame(cases, "doc_id long, text string, edited string, after string")
+    for c in ("text", "edited", "after"):
+        df = S.with_anchors(df, c, c + "_a")
+    pick = lambda a: S.fingerprint(F.col(a))
+    expected = df.select("doc_id", pick("text_a").alias("fingerprint"), pick("edited_a").alias("edited_fingerprint"),
+                         S.likeness(F.col("text_a"), F.col("edited_a")).alias("near_edited"),
+                         S.likeness(F.col("text_a"), F.col("after_a")).alias("near_next")).collect()
+    keys = ("fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    shown = lambda rs: sorted((low(r["doc_id"]), *(r[k] for k in keys)) for r in rs)
+    assert shown(out) == shown(expected)
