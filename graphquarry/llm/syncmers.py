@@ -28,7 +28,7 @@ WINDOW = K - S + 1
 FEW = 4 * K  # from here on the first three quarters of a text hold a syncmer
 WORD = r"[^\s]+"
 NOTHING = 42  # xxhash64 of null, which follows the last character
-BLOCK = 16  # neighbours by id that are worked on in one task
+BLOCK = 32  # neighbours by id that are worked on in one task
 TASK_CHARS = 1 << 23  # characters a task is given, so that its chosen runs sort in memory
 MOST_TASKS = 20_000
 
